@@ -103,8 +103,10 @@ def subtract(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("chr",)) -> Data
 
 def reciprocal_round(df: DataFrame, fraction: float = 0.75, keys: Sequence[str] = ("chr",)) -> DataFrame:
     """Replace each interval by the range of all those that share ``fraction`` with it both ways; distinct."""
-    keys = list(keys)
-    spans = df.select(*keys, "start", "end").distinct()
+    return _reciprocal_step(df.select(*keys, "start", "end").distinct(), fraction, list(keys))
+
+
+def _reciprocal_step(spans: DataFrame, fraction: float, keys: list[str]) -> DataFrame:
     other = spans.withColumnsRenamed({"start": "b_start", "end": "b_end"})
     shared = F.least("end", "b_end") - F.greatest("start", "b_start")
     enough = (shared >= F.lit(fraction) * (F.col("end") - F.col("start"))) & (
@@ -127,7 +129,7 @@ def reciprocal_merge(
     current = materialise(df.select(*keys, "start", "end").distinct())
     n = current.count()
     for _ in range(rounds):
-        new = materialise(reciprocal_round(current, fraction, keys))
+        new = materialise(_reciprocal_step(current, fraction, list(keys)))
         n_new = new.count()
         # both are sets, so equal size and an empty difference mean equal sets
         if n_new == n and new.join(current, [*keys, "start", "end"], "left_anti").isEmpty():
