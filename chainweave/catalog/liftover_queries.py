@@ -80,7 +80,7 @@ def regions(spark, sf_dir):
 
 
 def lifted(spark, sf_dir):
-    return lo.lift_probes(lo.probes(regions(spark, sf_dir)), alignments(spark, sf_dir))
+    return lo.lift_probes(regions(spark, sf_dir), alignments(spark, sf_dir))
 
 
 @query("probe_liftover", f"with {LIFTED} select * from lifted")

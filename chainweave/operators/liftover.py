@@ -16,12 +16,16 @@ MAD_LIMIT, MAD_SCALE = 4.0, 0.6745
 MIN_WINNERS = 10
 
 
+def probe_position(k: Column, n: int = N_PROBES) -> Column:
+    """Place of probe ``k`` (from 1): equally spaced from start to end, truncated."""
+    step = (F.col("end") - F.col("start")) / F.lit(float(n - 1))
+    return (F.col("start") + step * (k - 1)).cast("long")
+
+
 def probes(regions: DataFrame, n: int = N_PROBES) -> DataFrame:
     """``n`` equally spaced points from start to end (truncated), numbered from 1."""
-    step = (F.col("end") - F.col("start")) / F.lit(float(n - 1))
-    return regions.withColumn("probe_id", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn(
-        "pos", (F.col("start") + step * (F.col("probe_id") - 1)).cast("long")
-    )
+    numbered = regions.withColumn("probe_id", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    return numbered.withColumn("pos", probe_position(F.col("probe_id"), n))
 
 
 def lifted_position(pos: Column) -> Column:
@@ -30,17 +34,26 @@ def lifted_position(pos: Column) -> Column:
     return F.when(F.col("strand") == "-", F.col("tend") - into).otherwise(F.col("tstart") + into)
 
 
-def lift_probes(points: DataFrame, paf: DataFrame) -> DataFrame:
+def lift_probes(regions: DataFrame, paf: DataFrame, n: int = N_PROBES) -> DataFrame:
     """Carry each probe over the alignment with most matches that holds it; probes without one go.
 
-    ``points``: region_id, probe_id, seqname, pos. Of equal matches the lowest alignment wins.
+    ``regions``: region_id, seqname, start, end. Of equal matches the lowest alignment wins. Whole regions are
+    joined to the alignments and only the probes inside a pair are spelled out after it.
     """
     alns = paf.select(
         F.col("qname").alias("seqname"), "qstart", "qend", "strand", "tname", "tstart", "tend", "nmatch",
         F.col("qstart").alias("_s"), (F.col("qend") + 1).alias("_e"),
     )
-    pts = points.select("region_id", "probe_id", "seqname", "pos", (F.col("pos") + 1).alias("_pe"))
-    hits = overlap_join(pts, alns, ["seqname"], ("pos", "_pe"), ("_s", "_e"))
+    whole = regions.select("region_id", "seqname", "start", "end", (F.col("end") + 1).alias("_re"))
+    step = F.greatest((F.col("end") - F.col("start")) / F.lit(float(n - 1)), F.lit(1e-9))
+    first = F.greatest(F.lit(1.0), F.floor((F.col("qstart") - F.col("start")) / step)).cast("int")
+    last = F.least(F.lit(float(n)), F.ceil((F.col("qend") - F.col("start")) / step) + 2).cast("int")
+    hits = (
+        overlap_join(whole, alns, ["seqname"], ("start", "_re"), ("_s", "_e"))
+        .withColumn("probe_id", F.explode(F.when(first <= last, F.sequence(first, last))))
+        .withColumn("pos", probe_position(F.col("probe_id"), n))
+        .where("pos between qstart and qend")
+    )
     best = F.struct(
         (-F.col("nmatch")).alias("neg"), "qstart", "qend", "tname", "tstart", "tend", "strand",
         lifted_position(F.col("pos")).alias("coord"),
@@ -134,7 +147,7 @@ def lift_regions(regions: DataFrame, paf: DataFrame, lengths: DataFrame, n: int
     """First-pass liftover with refinement: accepted range, else extrapolation, else nothing; then widened and
     clamped to ``[0, length - 1]``. ``lengths`` has contig and length. Regions that fail keep a row with nulls.
     """
-    lifted = lift_probes(probes(regions, n), paf)
+    lifted = lift_probes(regions, paf, n)
     by_range = lift_by_range(regions, lifted).where("accepted").select(
         "region_id", "contig", F.col("lift_start").cast("double").alias("s"), F.col("lift_end").cast("double").alias("e"),
         F.lit("range").alias("method"),
