@@ -34,11 +34,14 @@ def _project(lines: DataFrame, alns: DataFrame) -> DataFrame:
     )
 
 
-def gridlines(alns: DataFrame, zero_line: bool = False, max_rounds: int = 100_000) -> DataFrame:
+def gridlines(
+    alns: DataFrame, zero_line: bool = False, max_rounds: int = 100_000, limit: int | None = None
+) -> DataFrame:
     """All lines reached from alignment ends by carrying them over the alignments: ``(region_id, axis, pos)``.
 
     ``alns`` has region_id, tstart, tend and oriented qs, qe with slope 1 or -1. Only lines found in the last round
-    are carried on. With ``zero_line`` an axis on which a round lands nowhere gets the line 0.
+    are carried on. With ``zero_line`` an axis on which a round lands nowhere gets the line 0. With ``limit`` a
+    region that has more lines is not carried on (the caller coarsens it and asks again).
     """
     alns = alns.select(KEY, "tstart", "tend", "qs", "qe").distinct()
     ends = F.array(
@@ -60,6 +63,9 @@ def gridlines(alns: DataFrame, zero_line: bool = False, max_rounds: int = 100_00
             break
         known = materialise(known.unionByName(new))
         frontier = new
+        if limit is not None:
+            full = known.groupBy(KEY).count().where(F.col("count") > limit)
+            frontier = materialise(new.join(full, KEY, "left_anti"))
     return known
 
 
