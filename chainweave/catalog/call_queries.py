@@ -75,7 +75,7 @@ def source_winner(spark, sf_dir):
 def dominant_steps(spark, sf_dir):
     rows = results(spark, sf_dir)
     steps = materialise(ca.call_steps(rows))
-    winners = ca.winning_sources(ca.competing_sources(steps, ca.reference_regions(rows)))
+    winners = materialise(ca.winning_sources(ca.competing_sources(steps, ca.reference_regions(rows))))
     return ca.dominant_steps(steps, winners)
 
 

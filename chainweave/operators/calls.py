@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chainweave.functions.scalars import simple_mutation
 from chainweave.operators.intervals import union_spans
 from chainweave.operators.rangejoin import overlap_join
+from chainweave.session import materialise
 
 SOURCE = ["src_start", "src_end"]
 
@@ -40,9 +41,11 @@ def competing_sources(steps: DataFrame, references: DataFrame) -> DataFrame:
     Own sources are those of the member steps; a reference region joins in if it overlaps the merged interval and
     lies inside one of its own sources. Long form: one row per source, never a collected list.
     """
-    merged = union_spans(steps.select("chr", "start", "end"))
+    # an overlap join reads its inputs twice, so whatever is not a plain scan is cut off first
+    merged = materialise(union_spans(steps.select("chr", "start", "end")))
     spans = steps.select("chr", F.col("start").alias("_s"), F.col("end").alias("_e"), *SOURCE).distinct()
     own = overlap_join(merged, spans, ["chr"], ("start", "end"), ("_s", "_e")).select("chr", "start", "end", *SOURCE).distinct()
+    own = materialise(own)
     refs = references.select("chr", F.col("src_start").alias("_rs"), F.col("src_end").alias("_re")).distinct()
     inside = (F.col("_rs") >= F.col("src_start")) & (F.col("_re") <= F.col("src_end"))
     joining = overlap_join(own, refs, ["chr"], ("start", "end"), ("_rs", "_re"), inside).select(
@@ -107,8 +110,8 @@ def fold_steps(dominant: DataFrame) -> DataFrame:
 
 def regional_dominance(results: DataFrame, threshold: float = 98.0) -> DataFrame:
     """Result rows to final calls: steps, competing sources, winners, folded records."""
-    steps = call_steps(results, threshold)
-    winners = winning_sources(competing_sources(steps, reference_regions(results, threshold)))
+    steps = materialise(call_steps(results, threshold))
+    winners = materialise(winning_sources(competing_sources(steps, reference_regions(results, threshold))))
     return fold_steps(dominant_steps(steps, winners))
 
 

@@ -98,7 +98,7 @@ def subtract(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("chr",)) -> Data
     """``a`` minus the union of ``b``: the overlap of ``a`` with the gaps of ``b``; rows may split."""
     keys = list(keys)
     extent = a.groupBy(*keys).agg(F.min("start").alias("lo"), F.max("end").alias("hi"))
-    return clip_intersect(a, gaps_between(b, extent, keys), keys)
+    return clip_intersect(a, materialise(gaps_between(b, extent, keys)), keys)
 
 
 def reciprocal_round(df: DataFrame, fraction: float = 0.75, keys: Sequence[str] = ("chr",)) -> DataFrame:
