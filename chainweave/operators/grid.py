@@ -61,7 +61,7 @@ def gridlines(
         new = materialise(landed.join(known, [KEY, "axis", "pos"], "left_anti"))
         if new.isEmpty():
             break
-        known = known.unionByName(new)  # every part is checkpointed, so this stays a plain scan
+        known = known.unionByName(new)  # every part is a written table, so this stays a plain scan
         frontier = new
         if limit is not None:
             full = known.groupBy(KEY).count().where(F.col("count") > limit)

@@ -21,7 +21,7 @@ Aligner = Callable[[DataFrame], DataFrame]  # (name, seq) rows to PAF rows
 def chunked_alignment(seqs: DataFrame, align: Aligner, chunk: int = GENOME_CHUNK) -> DataFrame:
     """Align whole contigs in chunks and merge the chunks that continue each other.
 
-    The aligner's output is checkpointed, so a later failure does not align again.
+    The aligner's output is written down, so a later failure does not align again.
     """
     # the aligner is costly per byte: give every core several pieces of work
     spark = seqs.sparkSession
