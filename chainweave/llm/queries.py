@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chainweave.llm import packing, records
+from chainweave.llm import golay_simhash, packing, records
 from chainweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op3_golay_simhash")
+def op3_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golay_simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op6_record_files")
 def op6_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, index = records.write(table(spark, sf_dir, "documents"))
