@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chainweave.llm import chat, golay_simhash, packing, records
+from chainweave.llm import chat, divergence, golay_simhash, packing, records
 from chainweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(hostile)))
 
 
+@query("op5_divergence")
+def op5_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = divergence.judged(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query("op6_record_files")
 def op6_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, index = records.write(table(spark, sf_dir, "documents"))
