@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chainweave.llm import chat, divergence, golay_simhash, packing, records
+from chainweave.llm import chat, divergence, golay_simhash, mixing, packing, records
 from chainweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_source_mix")
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.with_source(mixing.taken(m), m.sources, "source_no", "source_size", "target").select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query("op3_golay_simhash")
 def op3_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay_simhash.near_duplicates(table(spark, sf_dir, "documents"))
