@@ -130,7 +130,7 @@ def write(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", te
     return folder, materialise(dealt.mapInArrow(run, INDEX))
 
 
-def sliced(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def sliced(batch: pa.RecordBatch, rows: int = 2500) -> Iterator[pa.RecordBatch]:
     """Parts of a batch, so that the ids of few documents are in memory at once."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)

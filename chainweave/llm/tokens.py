@@ -1,14 +1,16 @@
 """Token ids of whole Arrow string columns by the ``tokenizers`` library, each distinct piece encoded once.
 
 A byte-level pre-tokenizer always starts a new piece at a blank that a non-blank follows, so a text is cut there by
-Arrow, the cuts are dictionary-encoded, and only pieces not met before go to the library. Texts with characters about
-which regular-expression engines might disagree, or with the name of an added token, are given to the library whole.
+Arrow, the cuts are dictionary-encoded, and only pieces not met before go to the library's model. Texts with
+characters about which regular-expression engines might disagree, or with the name of an added token, are given to the
+library whole.
 """
 
 from __future__ import annotations
 
 import itertools
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,8 @@ UNUSUAL = r"[^\x09\x0A\x20-\x7E\x{A1}-\x{AC}\x{AE}-\x{17F}\x{2010}-\x{2015}\x{20
 #: Blanks that do not stand alone between two words.
 LOOSE = r" [ \t\n]|[\t\n ] | $|^ "
 #: Entries of a worker's memory of pieces; it starts anew when full, which changes no result.
-MEMORY = 400_000
-CHARS_AT_ONCE = 6_000_000
+MEMORY = 600_000
+CHARS_AT_ONCE = 8_000_000
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
@@ -42,6 +44,13 @@ def load(name: str = DEFAULT_TOKENIZER):
     return Tokenizer.from_file(tokenizer_path(name))
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 itself, the rest from U+0100 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = (b for b in range(256) if b not in set(shown))
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Encoder:
     """Encodes without special tokens and appends ``end_id`` to every text; a null text is an empty one."""
 
@@ -58,10 +67,12 @@ class Encoder:
             and not step.get("add_prefix_space")
             and step.get("use_regex", True)
             and state.get("normalizer") is None
+            and state["model"]["type"] == "BPE"
         )
         added = [x["content"] for x in state.get("added_tokens", [])]
         self.added = "|".join(map(regex.escape, added)) if added else None
         self.find = regex.compile(PIECES).findall
+        self.letters = byte_letters()
         self.end = [] if end_id is None else [end_id]
         self.pieces: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
@@ -111,19 +122,16 @@ class Encoder:
         if len(self.pieces) + len(new) > MEMORY:
             self.pieces = {}
             new = list(set(found))
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            got = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            of = np.array(got.word_ids, np.int64)
-            ids, ends = np.array(got.ids, np.uint32), np.searchsorted(of, np.arange(len(some) + 1))
-            raw = ids.tobytes()
-            self.pieces.update((x, raw[4 * a : 4 * b]) for x, a, b in zip(some, ends, ends[1:]))
+        bpe, letters = self.tokenizer.model.tokenize, self.letters
+        for x in new:
+            shown = (x if x.isascii() else x.encode().decode("latin-1")).translate(letters)
+            self.pieces[x] = array("I", [t.id for t in bpe(shown)]).tobytes()
 
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lists = pc.split_pattern(texts, " ")
         flat = lists.flatten().dictionary_encode()
         codes = np.asarray(flat.indices).astype(np.int64)
-        words: list[str] = flat.dictionary.to_pylist()
+        words: list[str] = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
         starts = np.asarray(lists.offsets)[:-1] - lists.offsets[0].as_py()
         ends = np.append(starts[1:], len(codes))
         # the first cut of a text has no blank before it: such cuts get words of their own
@@ -137,7 +145,7 @@ class Encoder:
             some = missing[at : at + 100_000]
             cut = [self.find(wanted[i]) for i in some]
             self._learn(list(itertools.chain.from_iterable(cut)))
-            if len(self.chunks) + len(some) > MEMORY:
+            if len(self.chunks) + len(some) > MEMORY // 2:
                 self.chunks = {}
             for i, x in zip(some, cut):
                 known[i] = self.chunks[wanted[i]] = b"".join(map(self.pieces.__getitem__, x))
