@@ -7,6 +7,10 @@ agree in at least one segment, and the segment behind it differs in at most two
 bits, a codeword index near the next segment) is shared by every linked pair: a fingerprint has 3 to 18 keys, linked
 fingerprints meet in a bucket, and the pairs of a bucket are verified.
 
+``near_duplicates`` links fingerprints of shingles. ``deduplicate`` keeps one document of each group of similar ones: it looks
+for candidates with several fingerprints over the distinct words, which a few edits change little, and verifies them by the
+Jaccard similarity of their five-word shingles.
+
 Only distinct fingerprints enter, each with its least document. A bucket with more than ``BUCKET`` fingerprints is not
 paired: its fingerprints spread to the 65 values within one bit, and all that meet at a value (they differ in at most
 two bits through it) are linked to the least of them. That is exact too and linear in the bucket.
@@ -19,7 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainweave.llm.components import components
@@ -197,3 +201,101 @@ def with_components(prints: DataFrame) -> DataFrame:
     moved = roots.join(least, "root").select("fp", "component_id")
     of = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return prints.join(of, "fp")
+
+
+#: Fingerprints over the distinct words by which candidates are found, and what verified similarity means.
+WORD_PRINTS = 4
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
+#: Texts up to which their 16-byte keys are broadcast; beyond it they are joined by a shuffle.
+FEW_TEXTS = 500_000
+
+
+def word_fingerprints(texts: list[bytes | None], prints: int = WORD_PRINTS) -> np.ndarray:
+    """A column for each of several fingerprints over the distinct words of each text; zeros without words."""
+    from xxhash import xxh64_intdigest
+
+    out = np.zeros((len(texts), prints), np.int64)
+    rows = [(i, w) for i, t in enumerate(texts) if t and (w := set(t.lower().split()))]
+    if rows:
+        sizes = np.array([len(w) for _, w in rows])
+        hashes = np.array([xxh64_intdigest(x, SEED) for _, w in rows for x in w], np.uint64)
+        for k in range(prints):
+            x = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+            bits = np.packbits(2 * bit_counts(x ^ (x >> np.uint64(29)), sizes) > sizes[:, None], axis=1, bitorder="little")
+            out[[i for i, _ in rows], k] = np.ascontiguousarray(bits).view(np.int64).ravel()
+    return out
+
+
+def shingle_set(text: bytes, width: int = SHINGLE_WORDS) -> np.ndarray:
+    return np.unique(np.array(text_hashes(text, width), np.uint64))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sets of hashes; two empty ones are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def _candidates(texts: DataFrame) -> DataFrame:
+    """``a, b`` (nodes) of ``node, fps``: of each fingerprint, texts that share it with its least text, and least texts of linked ones."""
+    found = None
+    for k in range(WORD_PRINTS):
+        of = materialise(texts.select("node", F.col("fps")[k].alias("fp")))
+        least = materialise(of.groupBy("fp").agg(F.min("node").alias("least")))
+        shared = of.join(least, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+        at, to = least.toDF("a_fp", "a"), least.toDF("b_fp", "b")
+        linked = links(least).toDF("a_fp", "b_fp").join(at, "a_fp").join(to, "b_fp").select("a", "b")
+        found = shared.union(linked) if found is None else found.union(shared).union(linked)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The documents, with all columns, but of each group of similar ones only that with the least id (null first).
+
+    Equal texts are similar; so are texts found by their fingerprints whose five-word shingles have a Jaccard similarity of
+    ``similarity`` or more (A-Z in lower case; a text of fewer words is one shingle). Groups are connected. Null texts are a
+    group, apart from empty ones; texts without a word are all alike. Of equal rows one stays. An empty table gives no rows.
+    Columns of any other name pass through.
+    """
+    keys = {"did__": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "k1__": F.xxhash64(text_col), "k2__": F.xxhash64(text_col, F.lit(1))}
+    marked = docs.withColumns(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                fps = word_fingerprints([x.as_buffer().to_pybytes() if x.is_valid else None for x in some.column(3)])
+                yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(list(fps), pa.list_(pa.int64()))], ["did", "k1", "k2", "fps"])
+
+    printed = marked.select("did__", "k1__", "k2__", F.col(text_col).cast("binary")).mapInArrow(run, "did long, k1 long, k2 long, fps array<long>")
+    texts = materialise(
+        printed.groupBy("k1", "k2").agg(F.min("did").alias("did"), F.first("fps").alias("fps")).withColumn("node", F.xxhash64("k1", "k2"))
+    )
+    pairs = materialise(_candidates(texts))
+    involved = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = materialise(texts.join(involved, "node").select("node", "did", "k1", "k2"))
+    small = F.broadcast(wanted) if wanted.count() <= FEW_TEXTS else wanted
+    same = (F.col("did") == F.col("did__")) & (F.col("k1") == F.col("k1__")) & (F.col("k2") == F.col("k2__"))
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x.as_buffer().to_pybytes() if x.is_valid else b"").tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    sets = materialise(
+        marked.join(small, same).select("node", F.col(text_col).cast("binary")).mapInArrow(shingled, "node long, shingles binary").dropDuplicates(["node"])
+    )
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(i)] for i in (2, 3))
+            yield batch.select(["a", "b"]).filter(pa.array([jaccard(p, q) >= similarity for p, q in zip(x, y)], pa.bool_()))
+
+    joined = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
+    groups = components(joined.mapInArrow(verified, "a long, b long"))
+    of = texts.join(groups, "node", "left").select(F.coalesce("root", "node").alias("group"), F.struct("did", "k1", "k2").alias("place"))
+    stay = materialise(of.groupBy("group").agg(F.min("place").alias("place")).select("place.*"))
+    once = Window.partitionBy("did__", "k1__", "k2__").orderBy(F.lit(1))
+    kept = marked.join(stay.toDF("did__", "k1__", "k2__"), ["did__", "k1__", "k2__"])
+    return kept.withColumn("turn__", F.row_number().over(once)).where("turn__ = 1").select(*docs.columns)
