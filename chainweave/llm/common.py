@@ -22,6 +22,3 @@ def fresh(df: DataFrame, name: str) -> str:
         name += "_"
     return name
 
-
-def row_count(df: DataFrame) -> int:
-    return df.count()

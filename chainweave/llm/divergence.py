@@ -198,7 +198,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
                 columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), types)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[2:], *columns], [f"c{i}" for i in range(len(batch.columns) - 2 + 9)])
 
-    source = docs.select(F.col(text_col).alias("text_"), F.col(lang_col).alias("lang_"), id_col, *keep)
+    source = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate((text_col, lang_col, id_col, *keep))))
     names = [id_col, *keep, *(x.strip().split(" ")[0] for x in RULES.split(","))]
     kinds = [docs.schema[c].dataType.simpleString() for c in (id_col, *keep)] + [x.strip().split(" ")[1] for x in RULES.split(",")]
     schema = ", ".join(f"c{i} {k}" for i, k in enumerate(kinds))

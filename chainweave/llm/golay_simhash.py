@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chainweave.llm.common import fresh
 from chainweave.llm.components import components
 from chainweave.session import materialise
 
@@ -254,11 +255,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The documents, with all columns, but of each group of similar ones only that with the least id (null first).
 
     Equal texts are similar; so are texts found by their fingerprints whose five-word shingles have a Jaccard similarity of
-    ``similarity`` or more (A-Z in lower case; a text of fewer words is one shingle). Groups are connected. Null texts are a
-    group, apart from empty ones; texts without a word are all alike. Of equal rows one stays. An empty table gives no rows.
+    ``similarity`` or more (A-Z in lower case; a text of fewer words is one shingle). Groups are connected. A null text is
+    one without a word, and those are all alike. Of equal rows one stays. An empty table gives no rows.
     Columns of any other name pass through.
     """
-    keys = {"did__": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "k1__": F.xxhash64(text_col), "k2__": F.xxhash64(text_col, F.lit(1))}
+    did, k1, k2, turn = (fresh(docs, c) for c in ("did", "k1", "k2", "turn"))
+    keys = {did: F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), k1: F.xxhash64(text_col), k2: F.xxhash64(text_col, F.lit(1))}
     marked = docs.withColumns(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,15 +270,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 fps = word_fingerprints([x.as_buffer().to_pybytes() if x.is_valid else None for x in some.column(3)])
                 yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(list(fps), pa.list_(pa.int64()))], ["did", "k1", "k2", "fps"])
 
-    printed = marked.select("did__", "k1__", "k2__", F.col(text_col).cast("binary")).mapInArrow(run, "did long, k1 long, k2 long, fps array<long>")
+    printed = marked.select(did, k1, k2, F.col(text_col).cast("binary")).mapInArrow(run, "did long, k1 long, k2 long, fps array<long>")
     texts = materialise(
         printed.groupBy("k1", "k2").agg(F.min("did").alias("did"), F.first("fps").alias("fps")).withColumn("node", F.xxhash64("k1", "k2"))
     )
     pairs = materialise(_candidates(texts))
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = materialise(texts.join(involved, "node").select("node", "did", "k1", "k2"))
-    small = F.broadcast(wanted) if wanted.count() <= FEW_TEXTS else wanted
-    same = (F.col("did") == F.col("did__")) & (F.col("k1") == F.col("k1__")) & (F.col("k2") == F.col("k2__"))
+    named = wanted.toDF("node", did, k1, k2)
+    small = F.broadcast(named) if wanted.count() <= FEW_TEXTS else named
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,7 +286,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
 
     sets = materialise(
-        marked.join(small, same).select("node", F.col(text_col).cast("binary")).mapInArrow(shingled, "node long, shingles binary").dropDuplicates(["node"])
+        marked.select(did, k1, k2, F.col(text_col).cast("binary").alias("raw_")).join(small, [did, k1, k2]).select("node", "raw_").mapInArrow(shingled, "node long, shingles binary").dropDuplicates(["node"])
     )
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,6 +298,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = components(joined.mapInArrow(verified, "a long, b long"))
     of = texts.join(groups, "node", "left").select(F.coalesce("root", "node").alias("group"), F.struct("did", "k1", "k2").alias("place"))
     stay = materialise(of.groupBy("group").agg(F.min("place").alias("place")).select("place.*"))
-    once = Window.partitionBy("did__", "k1__", "k2__").orderBy(F.lit(1))
-    kept = marked.join(stay.toDF("did__", "k1__", "k2__"), ["did__", "k1__", "k2__"])
-    return kept.withColumn("turn__", F.row_number().over(once)).where("turn__ = 1").select(*docs.columns)
+    once = Window.partitionBy(did, k1, k2).orderBy(F.lit(1))
+    kept = marked.join(stay.toDF(did, k1, k2), [did, k1, k2])
+    return kept.withColumn(turn, F.row_number().over(once)).where(F.col(turn) == 1).select(*docs.columns)

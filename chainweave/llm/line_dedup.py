@@ -157,16 +157,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document here: their lines stay or go alike. Rows with the same id and other texts go by a hash of the text. An empty
     table gives no rows. Columns of the input called n_lines or n_removed are kept, and the new ones get a longer name.
     """
-    n_lines = fresh(docs, "n_lines")
-    n_removed = fresh(docs, "n_removed")
+    n_lines, n_removed, own_id, own_tie, stays, tie = (fresh(docs, c) for c in ("n_lines", "n_removed", "own_id", "own_tie", "stays", "tie"))
     kept = (
         first_occurrences(docs, id_col, text_col, similarity).groupBy("doc_id", "tie")
         .agg(F.array_sort(F.collect_set("line_no")).alias("stay"))
-        .select(F.col("doc_id").alias("id__"), F.col("tie").alias("tie__"), F.col("stay").alias("stay__"))
+        .toDF(own_id, own_tie, stays)
     )
-    out = docs.withColumn("own__", F.xxhash64(text_col)).join(kept, F.col(id_col).eqNullSafe(F.col("id__")) & (F.col("own__") == F.col("tie__")), "left")
+    out = docs.withColumn(tie, F.xxhash64(text_col)).join(kept, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(tie) == F.col(own_tie)), "left")
     split = F.split(text_col, "\n")
-    stay = F.coalesce("stay__", F.array().cast("array<int>"))
+    stay = F.coalesce(stays, F.array().cast("array<int>"))
     text = F.when(F.col(text_col).isNotNull(), F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n"))
     count = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split))
     return out.select(

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainweave.llm.common import WORD
+from chainweave.llm.common import WORD, fresh
 from chainweave.session import materialise
 
 WEIGHTS = (5, 2, 1)
@@ -163,14 +163,16 @@ def taken(m: Mix, block_words: int = BLOCK_WORDS) -> DataFrame:
     return sums.select("doc_id", "source_no", "size", "taken").union(none)
 
 
-def mixed_documents(docs: DataFrame, text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                    weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """Whole documents as often as the mix takes their words: that number is rounded up or down at random, by a hash, so
     that a source's words come near its target. Documents that are not taken are not returned; those taken twice or three
     times are returned so often, with all their columns. Documents without a word are never taken.
     """
-    keyed = docs.withColumn("key__", F.xxhash64(*(c for c in docs.columns)))
-    m = mix(keyed, "key__", text_col, source_col, weights, seed=seed)
+    key, times, turn = (fresh(docs, c) for c in ("key", "times", "turn"))
+    keyed = docs.withColumn(key, F.xxhash64(id_col, text_col, source_col))
+    m = mix(keyed, key, text_col, source_col, weights, seed=seed)
     share = taken(m).where("size > 0").groupBy("doc_id").agg((F.sum("taken") / F.sum("size")).alias("share"))
     luck = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / (1 << 20)
-    times = share.select(F.col("doc_id").alias("key__"), F.floor(F.col("share") + luck).cast("int").alias("times__")).where("times__ > 0")
-    return keyed.join(times, "key__").select(*docs.columns, F.explode(F.expr("sequence(1, times__)")).alias("turn__")).select(*docs.columns)
+    often = share.select(F.col("doc_id").alias(key), F.floor(F.col("share") + luck).cast("int").alias(times)).where(F.col(times) > 0)
+    return keyed.join(often, key).select(*docs.columns, F.explode(F.sequence(F.lit(1), times)).alias(turn)).select(*docs.columns)
