@@ -14,7 +14,7 @@ _RESULT = {
     "seqname": "concat('chr', cast(l_orderkey % 7 as string))",
     "start": "cast(floor(l_orderkey / 6) as bigint) * 20000 + (l_linenumber % 3) * 5000",
     "end": "cast(floor(l_orderkey / 6) as bigint) * 20000 + (l_linenumber % 3) * 5000 + 40000 + (l_linenumber % 4) * 10000",
-    "sample": "concat('asm_S', cast(l_suppkey % 30 as string), '_hap', cast(1 + l_partkey % 2 as string))",
+    "sample": "concat('asm_S', cast(l_suppkey % 30 as string), '_hap', cast(1 + l_partkey % 2 as string), case when l_partkey % 11 = 0 then '.alt' else '' end)",
     "res_max": "95 + l_quantity / 10",
     "mut_max": "case l_linenumber % 4 when 0 then 'ref' when 1 then '2_5_inv' when 2 then '1_4_del+2_6_inv' "
     "else '3_7_dup+1_2_del+4_6_inv' end",
@@ -93,7 +93,7 @@ def dominant_steps(spark, sf_dir):
       case when n.s < w.open_e and n.e > w.open_s then w.grp else w.grp + 1 end, n.name
     from walk w join seq n on n.chr = w.chr and n.src_start = w.src_start and n.k = w.k + 1)
   select chr, min(open_s) as "start", max(open_e) as "end", string_agg(name, '+' order by k) as name
-  from walk group by chr, src_start, grp having min(open_s) > 0""")
+  from walk group by chr, src_start, grp""")
 def dominance_fold(spark, sf_dir):
     return ca.regional_dominance(results(spark, sf_dir))
 
@@ -103,18 +103,18 @@ HAPLOTYPES = """named as (select seqname, "start", "end", "end" - "start" as wid
     case when regexp_matches(sample, 'h[ap]{0,2}2') then 2 else 1 end as phase,
     regexp_replace(case when res_max < 98 then 'UNK' else mut_max end, '[0-9_:]+', '', 'g') as mutation from res
     where not regexp_matches(sample, '\\.alt$')),
-  hap as (select seqname, "start", "end", sample_id, phase, min(mutation) as call, max(width_orig) as w from named
-    group by all),
-  muts as (select seqname, "start", "end", call as mutation, max(w) as width_orig from hap
-    where call not in ('ref', 'UNK', '.') group by all),
-  sides as (select seqname, "start", "end", sample_id, max(call) filter (phase = 1) as c1, max(call) filter (phase = 2) as c2
-    from hap group by all),
-  coded as (select m.*, sample_id,
-    case when c1 is null or c1 = 'UNK' then '.' when c1 = mutation then '1' else '0' end as g1,
-    case when c2 is null or c2 = 'UNK' then '.' when c2 = mutation then '1' else '0' end as g2
-    from muts m join sides s on m.seqname = s.seqname and m."start" = s."start" and m."end" = s."end"),
-  gts as (select seqname, "start", "end", mutation, width_orig, sample_id, concat(g1, '|', g2) as gt,
-    case when (g1 = '1') <> (g2 = '1') then cast("start" as varchar) else '.' end as ps from coded)"""
+  calls as (select distinct seqname, "start", "end", sample_id, phase, mutation as call from named),
+  muts as (select seqname, "start", "end", mutation, max(width_orig) as width_orig from named
+    where mutation not in ('ref', 'UNK', '.') group by all),
+  haps as (select sample_id, phase from (select distinct sample_id from named), (values (1), (2)) p(phase)),
+  codes as (select m.seqname, m."start", m."end", m.mutation, m.width_orig, h.sample_id, h.phase,
+    coalesce(max(case when c.call = m.mutation then 2 when c.call <> 'UNK' then 1 else 0 end), 0) as code
+    from muts m cross join haps h left join calls c on c.seqname = m.seqname and c."start" = m."start" and c."end" = m."end"
+      and c.sample_id = h.sample_id and c.phase = h.phase group by all),
+  gts as (select seqname, "start", "end", mutation, width_orig, sample_id,
+    string_agg(['.', '0', '1'][code + 1], '|' order by phase) as gt,
+    case when count(*) filter (code = 2) = 1 then cast("start" as varchar) else '.' end as ps from codes
+    group by seqname, "start", "end", mutation, width_orig, sample_id)"""
 
 
 @query("vcf_genotypes", f"with {RES}, {HAPLOTYPES} select * from gts")
@@ -123,15 +123,17 @@ def vcf_genotypes(spark, sf_dir):
 
 
 @query("vcf_records", f"""with {RES}, {HAPLOTYPES},
-  wide as (select seqname, "start", "end", mutation, width_orig, {", ".join(
-      f"coalesce(max(gt || ':' || ps) filter (sample_id = 'S{k}'), '.|.:.') as S{k}" for k in range(30))}
+  wide as (select seqname, "start", "end", mutation, width_orig,
+    string_agg(sample_id || '=' || gt || ':' || ps, ' ' order by sample_id) as calls
     from gts group by seqname, "start", "end", mutation, width_orig)
   select seqname as "CHROM", "start" as "POS", concat('<SV.', mutation, '_', seqname, '-', "start", '-', "end", '>') as "ID",
     'N' as "REF", concat('<', mutation, '>') as "ALT", '.' as "QUAL", 'PASS' as "FILTER",
     concat('SVTYPE=', mutation, ';SVDEPTH=', len(string_split(mutation, '+')), ';SVLEN=', width_orig, ';END=', "end") as "INFO",
-    'GT:PS' as "FORMAT", {", ".join(f"S{k}" for k in range(30))} from wide""")
+    'GT:PS' as "FORMAT", calls from wide""")
 def vcf_records(spark, sf_dir):
-    return gt.vcf_records(gt.genotypes(gt.haplotype_calls(results(spark, sf_dir))))
+    records = gt.vcf_records(gt.genotypes(gt.haplotype_calls(results(spark, sf_dir))))
+    shown = F.array_join(F.transform("calls", lambda c: F.concat_ws("=", c["sample"], c["call"])), " ")
+    return records.withColumn("calls", shown)
 
 
 @query("absolute_steps", """with w as (select l_orderkey, l_linenumber, l_partkey % 9 + 1 as s1, l_partkey % 9 + 3 + l_suppkey % 5 as e1,

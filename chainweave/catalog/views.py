@@ -29,6 +29,15 @@ def paf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} as {n}" for n, e in _PAF.items()])
 
 
+# a contig is as long as its last alignment reaches
+PAF_LENGTHS = "sized_paf as (select *, max(qend) over (partition by qname) as qlen from paf)"
+
+
+def paf_with_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = paf(spark, sf_dir)
+    return rows.join(rows.groupBy("qname").agg(F.max("qend").alias("qlen")), "qname").select(*rows.columns, "qlen")
+
+
 def spans(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
     """Target spans of the alignments that satisfy ``where``."""
     return paf(spark, sf_dir).where(where).select(

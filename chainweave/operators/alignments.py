@@ -113,7 +113,12 @@ def drop_buried(df: DataFrame) -> DataFrame:
 def breakpoints(
     df: DataFrame, skip_edges: bool = True, edge: int = 50, min_query_span: int = 1000, min_count: int = 3
 ) -> DataFrame:
-    """Two breakpoints per alignment, for contigs with at least ``min_count`` long enough alignments."""
+    """Two breakpoints per alignment, for contigs with at least ``min_count`` long enough alignments.
+
+    With ``skip_edges`` points within ``edge`` bases of an end of their contig go. The far end is known from a column
+    ``qlen``; without one only the near end is tested.
+    """
+    length = F.col("qlen") if "qlen" in df.columns else F.lit(None).cast("long")
     long_enough = df.where(F.col("qend") - F.col("qstart") >= min_query_span)
     frequent = long_enough.groupBy("qname").count().where(F.col("count") >= min_count).select("qname")
     ends = F.array(
@@ -121,13 +126,12 @@ def breakpoints(
         F.struct(F.col("tend").alias("tpos"), F.col("qe").alias("qpos")),
     )
     points = (
-        orient(long_enough.select("qname", "qstart", "qend", "strand", "tname", "tstart", "tend"))
+        orient(long_enough.select("qname", "qstart", "qend", "strand", "tname", "tstart", "tend", length.alias("_qlen")))
         .join(frequent, "qname", "left_semi")
-        .select("tname", "qname", "strand", F.inline(ends))
+        .select("tname", "qname", "strand", "_qlen", F.inline(ends))
     )
     if skip_edges:
-        # the far edge is measured against a fixed contig length of 1e9
-        points = points.where((F.col("qpos") > edge) & (F.col("qpos") < 1_000_000_000 - edge))
+        points = points.where((F.col("qpos") > edge) & (F.col("_qlen").isNull() | (F.col("qpos") < F.col("_qlen") - edge)))
     return points.select(
         "tname", "tpos", (F.col("tpos") + 1).alias("tpos_end"),
         "qname", "qpos", (F.col("qpos") + 1).alias("qpos_end"), "strand",

@@ -102,10 +102,7 @@ def fold_steps(dominant: DataFrame) -> DataFrame:
         )
 
     folded = counted.groupBy("chr", "src_start").agg(ordered.alias("_steps"))
-    return (
-        folded.select("chr", F.inline(F.aggregate("_steps", open_, walk)))
-        .where("start > 0")
-    )
+    return folded.select("chr", F.inline(F.aggregate("_steps", open_, walk)))
 
 
 def regional_dominance(results: DataFrame, threshold: float = 98.0) -> DataFrame:

@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 from chainweave.functions.scalars import simple_mutation
 
 REGION = ["seqname", "start", "end"]
+# fixed patterns of sample names: what is no sample of its own, the part that names the sample, and the second haplotype
+NO_SAMPLE, SAMPLE_ID, SECOND = "\\.alt$", "^[^_]+_([^\\._]+).*", "h[ap]{0,2}2"
 NOT_CALLS = ("ref", "UNK", ".")
 
 
 def haplotype_calls(results: DataFrame, threshold: float = 98.0) -> DataFrame:
     """Result rows with sample id, haplotype and simplified call; weak calls are ``UNK``, ``.alt`` samples go."""
     return (
-        results.where(~F.col("sample").rlike("\\.alt$"))
+        results.where(~F.col("sample").rlike(NO_SAMPLE))
         .withColumns(
             {
-                "sample_id": F.regexp_replace("sample", "^[^_]+_([^\\._]+).*", "$1"),
-                "phase": F.when(F.col("sample").rlike("h[ap]{0,2}2"), 2).otherwise(1),
+                "sample_id": F.regexp_replace("sample", SAMPLE_ID, "$1"),
+                "phase": F.when(F.col("sample").rlike(SECOND), 2).otherwise(1),
                 "mutation": simple_mutation(F.when(F.col("res_max") < threshold, "UNK").otherwise(F.col("mut_max"))),
             }
         )
@@ -26,30 +28,36 @@ def haplotype_calls(results: DataFrame, threshold: float = 98.0) -> DataFrame:
 
 
 def genotypes(calls: DataFrame, ps: str = "start") -> DataFrame:
-    """One row per region, mutation and sample seen in the region: ``gt`` such as ``1|0`` and its phase set.
+    """One row per region, mutation and sample of the whole input: ``gt`` such as ``1|0`` and its phase set.
 
-    A haplotype is 1 with the mutation, 0 with another call and ``.`` if unknown or missing. The phase set is
-    ``start`` (or ``start-end``) of the only mutated haplotype.
+    All rows of a haplotype count: it is 1 if any of them has the mutation, else 0 if any has a known call, else ``.``.
+    The phase set is ``start`` (or ``start-end``) of the only mutated haplotype. Samples without a row in a region are
+    ``.|.`` there.
     """
-    haplotype = calls.groupBy(*REGION, "sample_id", "phase").agg(F.min("mutation").alias("call"), F.max("width_orig").alias("_w"))
-    mutations = haplotype.where(~F.col("call").isin(*NOT_CALLS)).groupBy(*REGION, F.col("call").alias("mutation")).agg(
-        F.max("_w").alias("width_orig")
-    )
-    # both haplotypes of a sample in one row; a region has as many rows as samples
-    sides = haplotype.groupBy(*REGION, "sample_id").agg(
-        F.max(F.when(F.col("phase") == 1, F.col("call"))).alias("_c1"),
-        F.max(F.when(F.col("phase") == 2, F.col("call"))).alias("_c2"),
+    samples = calls.select("sample_id").distinct()
+    mutations = calls.where(~F.col("mutation").isin(*NOT_CALLS)).groupBy(*REGION, "mutation").agg(F.max("width_orig").alias("width_orig"))
+    known = F.col("call") != "UNK"
+
+    def side(phase: int, mutation: bool) -> Column:
+        own = F.col("phase") == phase
+        return F.max(own & (F.col("call") == F.col("mutation")) if mutation else own & known)
+
+    # a row for each call of a region: its mutations are few, so each of them meets each haplotype's calls
+    seen = calls.select(*REGION, "sample_id", "phase", F.col("mutation").alias("call")).distinct()
+    found = mutations.select(*REGION, "mutation").join(seen, REGION).groupBy(*REGION, "mutation", "sample_id").agg(
+        *[side(p, m).alias(f"_{'has' if m else 'known'}{p}") for p in (1, 2) for m in (True, False)]
     )
-    def code(c: str) -> Column:
-        return F.when(F.col(c).isNull() | (F.col(c) == "UNK"), ".").when(F.col(c) == F.col("mutation"), "1").otherwise("0")
+
+    def code(p: int) -> Column:
+        return F.when(F.col(f"_has{p}"), "1").when(F.col(f"_known{p}"), "0").otherwise(".")
 
     ps_value = F.col("start").cast("string") if ps == "start" else F.concat_ws("-", F.col("start").cast("string"), F.col("end").cast("string"))
-    one, two = F.col("_g1") == "1", F.col("_g2") == "1"
+    one, two = F.coalesce("_has1", F.lit(False)), F.coalesce("_has2", F.lit(False))
     return (
-        mutations.join(sides, REGION)
-        .withColumns({"_g1": code("_c1"), "_g2": code("_c2")})
+        # the table to be made: every mutation with every sample, as a VCF has it
+        mutations.crossJoin(samples).join(found, [*REGION, "mutation", "sample_id"], "left")
         .select(
-            *REGION, "mutation", "width_orig", "sample_id", F.concat_ws("|", "_g1", "_g2").alias("gt"),
+            *REGION, "mutation", "width_orig", "sample_id", F.concat_ws("|", code(1), code(2)).alias("gt"),
             F.when(one != two, ps_value).otherwise(".").alias("ps"),
         )
     )
@@ -72,13 +80,11 @@ def vcf_fixed(table: DataFrame, id_prefix: str = "SV") -> DataFrame:
 
 
 def vcf_records(genotype_rows: DataFrame, id_prefix: str = "SV") -> DataFrame:
-    """Genotype rows as VCF records: fixed columns, then one ``GT:PS`` column per sample in name order.
+    """Genotype rows as VCF records: the fixed columns and ``calls``, an array of (sample, ``GT:PS``) in sample order.
 
-    A sample without any row in a region is ``.|.`` there. The sample names become columns, so they are listed on
-    the driver, as any VCF writer has to.
+    The schema does not depend on the data, and the samples' names stay in the rows. Only a writer, which needs a
+    header line, lists them.
     """
-    names = [r[0] for r in genotype_rows.select("sample_id").distinct().orderBy("sample_id").collect()]
-    wide = genotype_rows.groupBy(*REGION, "mutation", "width_orig").pivot("sample_id", names).agg(
-        F.first(F.concat_ws(":", "gt", "ps"))
-    )
-    return vcf_fixed(wide.fillna(".|.:.", names), id_prefix)
+    call = F.struct(F.col("sample_id").alias("sample"), F.concat_ws(":", "gt", "ps").alias("call"))
+    rows = genotype_rows.groupBy(*REGION, "mutation", "width_orig").agg(F.sort_array(F.collect_list(call)).alias("calls"))
+    return vcf_fixed(rows, id_prefix)

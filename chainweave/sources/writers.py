@@ -58,7 +58,10 @@ def write_vcf(genotype_rows: DataFrame, path: str, mode: str = "error", id_prefi
     """VCF 4.2, sorted by CHROM and POS. The header lines sort into the first part."""
     records = vcf_records(genotype_rows, id_prefix)
     spark = records.sparkSession
-    columns = "#" + "\t".join(records.columns)
+    fields = [c for c in records.columns if c != "calls"]
+    # the header line names all samples: one row, as every record has the same
+    some = records.select("calls.sample").first()
+    columns = "#" + "\t".join([*fields, *(some.sample if some else ())])
     fixed = [(0, 0, VCF_VERSION)] + [(2, i, line) for i, line in enumerate(VCF_DEFINITIONS)] + [(3, 0, columns)]
     head = spark.createDataFrame(fixed, "block int, at int, value string").select(
         "block", F.lit("").alias("chrom"), F.col("at").cast("long").alias("pos"), "value"
@@ -67,7 +70,10 @@ def write_vcf(genotype_rows: DataFrame, path: str, mode: str = "error", id_prefi
         F.lit(1).alias("block"), F.col("CHROM").alias("chrom"), F.lit(0).cast("long").alias("pos"),
         F.concat(F.lit("##contig=<ID="), F.col("CHROM"), F.lit(">")).alias("value"),
     )
-    body = records.select(F.lit(4).alias("block"), F.col("CHROM").alias("chrom"), F.col("POS").alias("pos"), _tab(records.columns))
+    body = records.select(
+        F.lit(4).alias("block"), F.col("CHROM").alias("chrom"), F.col("POS").alias("pos"),
+        F.concat_ws("\t", _tab(fields), F.array_join("calls.call", "\t")).alias("value"),
+    )
     head.unionByName(contigs).unionByName(body).orderBy("block", "chrom", "pos", "value").select("value").write.mode(
         mode
     ).text(path)

@@ -88,9 +88,10 @@ def test_genotypes_and_vcf(spark, tmp_path):
     ]
     table = gt.genotypes(gt.haplotype_calls(results(spark, rows)))
     got = {(r.start, r.sample_id): (r.gt, r.ps) for r in table.collect()}
-    assert got == {
-        (1000, "S1"): ("1|0", "1000"), (1000, "S2"): ("1|1", "."), (1000, "S3"): (".|.", "."), (50_000, "S5"): (".|1", "50000"),
-    }
+    # all samples of the input in every region; .alt is none
+    want = {(at, s): (".|.", ".") for at in (1000, 50_000) for s in ("S1", "S2", "S3", "S5")}
+    want |= {(1000, "S1"): ("1|0", "1000"), (1000, "S2"): ("1|1", "."), (50_000, "S5"): (".|1", "50000")}
+    assert got == want
     writers.write_vcf(table, str(tmp_path / "v"))
     text = lines_of(tmp_path / "v")
     assert text[0] == "##fileformat=VCFv4.2" and text[1] == "##contig=<ID=chr1>"
@@ -99,6 +100,16 @@ def test_genotypes_and_vcf(spark, tmp_path):
     assert "SVTYPE=del+inv;SVDEPTH=2" in text[10]
 
 
+def test_every_row_of_a_haplotype_counts(spark):
+    rows = [
+        result_row(), result_row(res_max=50.0), result_row(sample="asm_S2_hap1", mut_max="1_3_del"), result_row(sample="asm_S2_hap1", mut_max="ref"),
+        result_row(sample="asm_S9_hap1", start=90_000, end=95_000, mut_max="ref"),
+    ]
+    got = {(r.mutation, r.sample_id): r.gt for r in gt.genotypes(gt.haplotype_calls(results(spark, rows))).collect()}
+    name = gt.haplotype_calls(results(spark, rows[:1])).first().mutation
+    assert got == {(name, "S1"): "1|.", (name, "S2"): "0|.", (name, "S9"): ".|.", ("del", "S1"): "0|.", ("del", "S2"): "1|.", ("del", "S9"): ".|."}
+
+
 def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "a.paf").write_text("q\t10\t0\t9\t+\tt\t20\t1\t10\t8\t9\t60\ttp:A:P\tcm:i:3\nq\t10\t0\t5\t-\tt\t20\t1\t6\t5\t5\t0\n")
     paf = readers.read_paf(spark, str(tmp_path / "a.paf"))
