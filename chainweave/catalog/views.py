@@ -38,15 +38,33 @@ def paf_with_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(rows.groupBy("qname").agg(F.max("qend").alias("qlen")), "qname").select(*rows.columns, "qlen")
 
 
-def spans(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
-    """Target spans of the alignments that satisfy ``where``."""
-    return paf(spark, sf_dir).where(where).select(
-        F.col("tname").alias("chr"), F.col("tstart").alias("start"), F.col("tend").alias("end")
-    )
+# one key per pair of target and query contig, so that the spans of a key do not all run together
+_SPAN_KEY = "concat(tname, '_', qname)"
+SPANS = f'a as (select {_SPAN_KEY} as chr, tstart as "start", tend as "end" from paf)'
+SPAN_GENOME = 'genome as (select chr, max("end") as length from a group by chr)'
+_RIVAL = {
+    "chr": "concat('chr', cast(o_orderkey % 22 as string), '_ctg', cast(o_custkey % 40 as string))",
+    "start": "o_orderkey * 1000",
+    "end": "o_orderkey * 1000 + {size} + o_custkey % 50 * 100",
+}
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target spans of all alignments, by pair of contigs."""
+    return paf(spark, sf_dir).selectExpr(f"{_SPAN_KEY} as chr", "tstart as start", "tend as end")
+
+
+def span_genome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans(spark, sf_dir).groupBy("chr").agg(F.max("end").alias("length"))
+
+
+def rivals(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """A second set of spans, one per order, ``size`` to ``size`` + 4900 long."""
+    return table(spark, sf_dir, "orders").selectExpr(*[f"{e.format(size=size)} as {n}" for n, e in _RIVAL.items()])
 
 
-def spans_sql(name: str, where: str) -> str:
-    return f'{name} as (select tname as chr, tstart as "start", tend as "end" from paf where {where})'
+def rivals_sql(name: str, size: int) -> str:
+    return f"{name} as (select " + ", ".join(f'{e.format(size=size)} as "{n}"' for n, e in _RIVAL.items()) + " from orders)"
 
 
 def genome(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,12 +123,12 @@ def _reciprocal_step(spans: DataFrame, fraction: float, keys: list[str]) -> Data
 
 
 def reciprocal_merge(
-    df: DataFrame, fraction: float = 0.75, rounds: int = 10, keys: Sequence[str] = ("chr",)
+    df: DataFrame, fraction: float = 0.75, rounds: int | None = None, keys: Sequence[str] = ("chr",)
 ) -> DataFrame:
-    """Up to ``rounds`` reciprocal rounds; stops as soon as a round changes nothing."""
+    """Reciprocal rounds until one changes nothing; with ``rounds`` given, that many at most."""
     current = materialise(df.select(*keys, "start", "end").distinct())
     n = current.count()
-    for _ in range(rounds):
+    while rounds is None or (rounds := rounds - 1) >= 0:
         new = materialise(_reciprocal_step(current, fraction, list(keys)))
         n_new = new.count()
         # both are sets, so equal size and an empty difference mean equal sets
