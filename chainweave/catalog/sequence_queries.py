@@ -27,11 +27,12 @@ def sequence_lengths(spark, sf_dir):
 
 
 @query("extract_subseq", f"""with {SEQS}, r as (select o_orderkey as region_id, concat('doc', o_custkey) as seqname,
-    o_orderkey % 50 * 10 as "start", o_orderkey % 50 * 10 + 300 as "end" from orders)
-  select region_id, seqname, "start", least("end", length(seq)) as "end",
-    concat(seqname, ':', "start", '-', least("end", length(seq))) as name,
-    substring(seq, "start" + 1, greatest(least("end", length(seq)) - "start", 0)) as bases
-  from r join seqs on name = seqname""")
+    o_orderkey % 50 * 10 as "start", o_orderkey % 50 * 10 + 300 as "end" from orders),
+  placed as (select r.*, seq, case when seq is null then "start" else least("start", length(seq)) end as s,
+    case when seq is null then "end" else least("end", length(seq)) end as e from r left join seqs on name = seqname)
+  select region_id, seqname, s as "start", e as "end",
+    case when seq is null then 'unknown' when e <= s then 'outside' when s = "start" and e = "end" then 'whole' else 'clipped' end as status,
+    case when seq is not null then concat(seqname, ':', s, '-', e) end as name, substring(seq, s + 1, e - s) as bases from placed""")
 def extract_subseq(spark, sf_dir):
     at = F.col("o_orderkey") % 50 * 10
     regions = table(spark, sf_dir, "orders").select(

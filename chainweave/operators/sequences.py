@@ -11,33 +11,59 @@ def lengths(seqs: DataFrame) -> DataFrame:
     return seqs.select("name", F.length("seq").cast("long").alias("length"))
 
 
-def extract(regions: DataFrame, seqs: DataFrame) -> DataFrame:
-    """Bases ``[start, end)`` of each region's contig, the end clipped to its length; plain ``contig:start-end`` names."""
-    stop = F.least(F.col("end"), F.length("seq").cast("long"))
-    return regions.join(seqs.withColumnRenamed("name", "seqname"), "seqname").select(
-        *[c for c in regions.columns if c != "end"], stop.alias("end"),
-        F.concat(F.col("seqname"), F.lit(":"), F.col("start").cast("string"), F.lit("-"), stop.cast("string")).alias("name"),
-        F.substring("seq", F.col("start").cast("int") + 1, (stop - F.col("start")).cast("int")).alias("bases"),
+def chunk_rows(seqs: DataFrame, size: int | Column) -> DataFrame:
+    """Sequences as rows ``(name, chunk_no, bases)`` of ``size`` bases (the last one shorter), in one pass over each record."""
+    by = F.lit(size) if isinstance(size, int) else size
+    pattern = F.concat(F.lit("(?s).{1,"), by.cast("string"), F.lit("}"))
+    rest = [c for c in seqs.columns if c not in ("name", "seq")]
+    return seqs.select("name", *rest, F.posexplode(F.regexp_extract_all("seq", pattern, F.lit(0))).alias("chunk_no", "bases"))
+
+
+def extract(regions: DataFrame, seqs: DataFrame, chunk: int = 65_536) -> DataFrame:
+    """Bases ``[start, end)`` of each region's contig, clipped to it; plain ``contig:start-end`` names.
+
+    Every region keeps its row. ``status`` is ``whole``, ``clipped``, ``outside`` (no base of it lies on the contig) or
+    ``unknown`` (no such contig; bounds as given, no name and no bases). A region is joined to the chunks it touches and
+    cut within each, so neither a long contig nor one that most regions lie on is the work of one task.
+    """
+    length = lengths(seqs).select(F.col("name").alias("seqname"), F.col("length").alias("_len"))
+    start, end = (F.when(F.col("_len").isNull(), F.col(c)).otherwise(F.least(F.greatest(c, F.lit(0)), "_len")) for c in ("start", "end"))
+    status = (
+        F.when(F.col("_len").isNull(), "unknown").when(F.col("_e") <= F.col("_s"), "outside")
+        .when((F.col("_s") == F.col("start")) & (F.col("_e") == F.col("end")), "whole").otherwise("clipped")
+    )
+    rest = [c for c in regions.columns if c not in ("start", "end")]
+    placed = (
+        regions.withColumn("_rid", F.monotonically_increasing_id()).join(length, "seqname", "left")
+        .withColumns({"_s": start, "_e": F.greatest(start, end)}).withColumn("status", status)
+    )
+    touched = F.when(F.col("status").isin("whole", "clipped"), F.sequence(F.floor(F.col("_s") / chunk), F.floor((F.col("_e") - 1) / chunk)))
+    parts = chunk_rows(seqs, chunk).select(F.col("name").alias("_name"), F.col("chunk_no").cast("long").alias("_no"), "bases")
+    cut = placed.withColumn("_no", F.explode_outer(touched)).join(parts.withColumnRenamed("_no", "_at"), (F.col("seqname") == F.col("_name")) & (F.col("_no") == F.col("_at")), "left")
+    low, high = F.greatest(F.col("_s") - F.col("_no") * chunk, F.lit(0)), F.least(F.col("_e") - F.col("_no") * chunk, F.lit(chunk))
+    piece = F.struct(F.col("_no"), F.substring("bases", (low + 1).cast("int"), (high - low).cast("int")).alias("piece"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(piece)), lambda p: p["piece"]), "")
+    return (
+        cut.groupBy("_rid", *rest, "_s", "_e", "status").agg(whole.alias("_bases"))
+        .select(
+            *rest, F.col("_s").alias("start"), F.col("_e").alias("end"), "status",
+            F.when(F.col("status") != "unknown", F.concat(F.col("seqname"), F.lit(":"), F.col("_s").cast("string"), F.lit("-"), F.col("_e").cast("string"))).alias("name"),
+            F.when(F.col("status") != "unknown", F.col("_bases")).alias("bases"),
+        )
     )
 
 
 def shred(seqs: DataFrame, chunk: int | Column) -> DataFrame:
     """Cut every sequence into chunks ``[k * chunk, (k + 1) * chunk - 1)``, named ``contig_start-end``.
 
-    The last base of each full chunk is left out, as half-open extraction of inclusive ends does.
+    The last base of each full chunk is left out, as half-open extraction of inclusive ends does. One pass over a record.
     """
     size = (F.lit(chunk) if isinstance(chunk, int) else chunk).cast("long")
-    total = F.length("seq").cast("long")
-    start = F.col("_start")
-    end = F.least(start + size - 1, F.col("_total"))
-    return (
-        seqs.withColumns({"_total": total, "_size": size})
-        .where("_total > 0")
-        .withColumn("_start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_total") - 1, F.col("_size"))))
-        .select(
-            F.concat(F.col("name"), F.lit("_"), start.cast("string"), F.lit("-"), end.cast("string")).alias("name"),
-            F.col("name").alias("contig"), start.alias("start"), end.alias("end"),
-            F.substring("seq", start.cast("int") + 1, (end - start).cast("int")).alias("seq"),
-        )
-        .where("start < end")
+    rows = chunk_rows(seqs.withColumn("_size", size), F.col("_size"))
+    start = F.col("chunk_no") * F.col("_size")
+    cut = rows.withColumns({"start": start, "seq": F.substring("bases", F.lit(1), (F.col("_size") - 1).cast("int"))})
+    end = F.col("start") + F.length("seq")
+    return cut.where("seq <> ''").select(
+        F.concat(F.col("name"), F.lit("_"), F.col("start").cast("string"), F.lit("-"), end.cast("string")).alias("name"),
+        F.col("name").alias("contig"), "start", end.alias("end"), "seq",
     )

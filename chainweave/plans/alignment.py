@@ -41,7 +41,7 @@ def conversion_alignment(regions: DataFrame, seqs: DataFrame, align: Aligner) ->
         "region_id", "seqname", F.greatest(F.col("start") - margin, F.lit(0).cast("long")).alias("start"),
         (F.col("end") + margin).alias("end"),
     )
-    found = materialise(align(sq.extract(wide, seqs).select("name", F.col("bases").alias("seq"))))
+    found = materialise(align(sq.extract(wide, seqs).where("bases <> ''").select("name", F.col("bases").alias("seq"))))
     return lo.shift_extracted(found, "qname", "qstart", "qend")
 
 

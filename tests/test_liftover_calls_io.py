@@ -160,3 +160,29 @@ def test_streamed_results_arrive_once(spark, tmp_path):
         stream = spark.readStream.schema(rows.schema).parquet(str(source))
         append_results(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_regions_off_their_contig_keep_a_row(spark):
+    df = spark.createDataFrame([("a", "ACGT"), ("b", "ACGTACGTAC" * 3), ("e", "")], "name string, seq string")
+    regions = spark.createDataFrame(
+        [("a", 300, 400), ("a", -5, 3), ("b", 8, 23), ("b", 8, 23), ("x", 1, 2), ("e", 0, 5)], "seqname string, start long, end long"
+    )
+    got = sorted((r.seqname, r.start, r.end, r.status, r.name, r.bases) for r in sq.extract(regions, df, chunk=7).collect())
+    b = ("b", 8, 23, "whole", "b:8-23", ("ACGTACGTAC" * 3)[8:23])
+    assert got == [
+        ("a", 0, 3, "clipped", "a:0-3", "ACG"), ("a", 4, 4, "outside", "a:4-4", ""), b, b, ("e", 0, 0, "outside", "e:0-0", ""),
+        ("x", 1, 2, "unknown", None, None),
+    ]
+
+
+def test_shred_time_grows_with_the_record(spark):
+    import time
+
+    took = {}
+    for mb in (2, 16):
+        rows = spark.range(1).selectExpr("'c' as name", f"repeat('ACGTACGT', {mb * 125_000}) as seq")
+        sq.shred(rows, 10_000).write.format("noop").mode("overwrite").save()
+        start = time.time()
+        assert sq.shred(rows, 10_000).count() == mb * 100
+        took[mb] = time.time() - start
+    assert took[16] < 30 * max(took[2], 0.1)
