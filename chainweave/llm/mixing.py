@@ -25,6 +25,7 @@ WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
 BLOCK_WORDS = 32
 SHARD_SLOTS = 8192
+DRAWS_A_TASK = 32_768
 ROUNDS = 12
 SEED = 20_111
 #: Sources up to which their table is broadcast (a few dozen bytes a row); beyond it the join is salted.
@@ -122,7 +123,9 @@ def draw(sources: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int =
     # draws are numbered in two steps, so that no row holds a long array
     coarse = quota.withColumn("from", F.explode(F.expr("sequence(0L, draws - 1, 16777216L)")))
     fine = coarse.withColumn("from", F.explode(F.expr("sequence(from, least(from + 16777216L, draws) - 1, 4096L)")))
-    dealt = fine.repartition("source_no", "from")
+    # few rows that grow into many: the number of tasks comes from what they grow to
+    words = sources.agg(F.sum("source_size")).first()[0] or 0
+    dealt = fine.repartition(max(1, words // block_words // DRAWS_A_TASK), "source_no", "from")
     drawn = dealt.withColumn("draw", F.explode(F.expr("sequence(from, least(from + 4096L, draws) - 1)")))
     passes, index = F.floor(F.col("draw") / F.col("blocks")).cast("long"), F.pmod("draw", "blocks")
     return (
@@ -156,7 +159,8 @@ def overlaps(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 def taken(m: Mix, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``doc_id, source_no, size, taken``: how many words of each document the mix takes, repeats counted."""
-    uses = m.slots.groupBy("source_no", "block").agg(F.count("*").alias("uses"))
+    # the hint keeps the planner from taking the slots, made from a tiny table, for small
+    uses = m.slots.groupBy("source_no", "block").agg(F.count("*").alias("uses")).hint("merge")
     found = overlaps(m.documents, block_words).join(uses, ["source_no", "block"], "left")
     sums = found.groupBy("doc_id", "source_no", "size", "start").agg(F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).alias("taken"))
     none = m.documents.where("size = 0").select("doc_id", "source_no", "size", F.lit(0).cast("long").alias("taken"))
