@@ -32,12 +32,14 @@ LENGTH = 100
 GRAM = 48
 #: Bases of the rolling hashes of grams and of owned bytes (odd, so that they can be divided out).
 GRAM_BASE, CLASS_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-CHUNK_BYTES = 6_000_000
+CHUNK_BYTES = 1_500_000
 CROWD = 2000
 #: Bytes in one suffix array.
 ARRAY_BYTES = 100_000
-#: Rows up to which a table of anchors (8 bytes) or owned places (48 bytes) is broadcast; beyond it the join is a shuffle.
-FEW_ANCHORS, FEW_PLACES = 3_000_000, 1_000_000
+#: Rows up to which a table of owned places (some 40 bytes each) is broadcast; beyond it the join is a shuffle.
+FEW_PLACES = 1_500_000
+#: Bits of the bitmap of repeated anchors (8 MB, whatever the input): it only spares a join rows that it would drop.
+BITMAP_BITS = 26
 
 
 # -- suffix arrays -----------------------------------------------------------------------------------------------------
@@ -176,8 +178,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """For each anchor: doc (place in ``texts``), h (hash of its gram), c (hash of its owned bytes), lo (where they begin) and n (how many windows it owns)."""
+def anchors(texts: list[bytes], only: np.ndarray | None = None, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
+    """For each anchor: doc (place in ``texts``), h (hash of its gram), c (hash of its owned bytes), lo (where they begin) and n (how many windows it owns).
+
+    ``only`` is a bitmap of hashes; with it other anchors are left out, and without it c is.
+    """
     sizes = np.array([len(t) for t in texts], np.int64)
     raw = np.frombuffer(b"".join(texts), np.uint8)
     begin = np.cumsum(sizes) - sizes
@@ -203,6 +208,11 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> dict[
     new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1]))))
     n = np.diff(np.append(new, len(whole)))
     lo, at, doc = whole[new], owner[new], doc[new]
+    if only is None:
+        return {"doc": doc, "h": grams[at].view(np.int64), "lo": lo - begin[doc], "n": n}
+    word, bit = grams[at] >> np.uint64(6) & np.uint64(len(only) - 1), grams[at] & np.uint64(63)
+    seen = (only[word.astype(np.int64)] >> bit & np.uint64(1)).astype(bool)
+    lo, at, doc, n = lo[seen], at[seen], doc[seen], n[seen]
     sums, down = _sums(raw, CLASS_BASE)
     own = (sums[lo + n - 1 + length] - sums[lo]) * down[lo]
     c = _mixed(own ^ _mixed((at - lo).astype(np.uint64) * np.uint64(1024) + n.astype(np.uint64)))
@@ -233,18 +243,37 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
             yield k, at, t[at : at + step + LENGTH - 1]
 
 
-def _occurrences(docs: DataFrame, counts_only: bool) -> DataFrame:
-    """``h, n`` for each batch's anchors (how often), or a row for each anchor: h, c, id, tie, lo, n."""
+def _counts(docs: DataFrame) -> DataFrame:
+    """``h, n``: the anchors of each part of a batch, and how often (two stands for more)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _chunks(batch, 2):
+                h, n = np.unique(anchors([t for _, _, t in _pieces(_bytes(part.column(2)))])["h"], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.minimum(n, 2))], ["h", "n"])
+
+    return docs.mapInArrow(run, "h long, n long")
+
+
+def _bitmap(twice: DataFrame) -> np.ndarray:
+    """A bit for each value of the low bits of the hashes. Of fixed size, so it may pass through the driver."""
+    word = F.shiftright("h", 6).bitwiseAND(F.lit((1 << BITMAP_BITS - 6) - 1))
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    rows = twice.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    out = np.zeros(1 << BITMAP_BITS - 6, np.uint64)
+    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def _occurrences(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """A row for each anchor that the bitmap knows: h, c, id, tie, lo, n."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _chunks(batch, 2):
                 cut = list(_pieces(_bytes(part.column(2))))
-                found = anchors([t for _, _, t in cut])
-                if counts_only:
-                    h, n = np.unique(found["h"], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.minimum(n, 2))], ["h", "n"])
-                    continue
+                found = anchors([t for _, _, t in cut], shared.value)
                 of = np.array([k for k, _, _ in cut], np.int64)[found["doc"]]
                 lo = found["lo"] + np.array([at for _, at, _ in cut], np.int64)[found["doc"]]
                 ids = [part.column(i).take(pa.array(of)) for i in (0, 1)]
@@ -252,7 +281,7 @@ def _occurrences(docs: DataFrame, counts_only: bool) -> DataFrame:
                     [pa.array(found["h"]), pa.array(found["c"]), *ids, pa.array(lo), pa.array(found["n"].astype(np.int32))], ["h", "c", "id", "tie", "lo", "n"]
                 )
 
-    return docs.mapInArrow(run, "h long, n long" if counts_only else "h long, c long, id long, tie long, lo long, n int")
+    return docs.mapInArrow(run, "h long, c long, id long, tie long, lo long, n int")
 
 
 # -- the operator ------------------------------------------------------------------------------------------------------
@@ -307,10 +336,8 @@ def _crowded_spans(reps: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``id, tie, a, b`` (bytes from a to b - 1) of ``id, tie, raw``: together they cover all that repeats."""
-    counts = _occurrences(docs, True).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    twice = materialise(counts)
-    every = _occurrences(docs, False)
-    seen = materialise(every.join(F.broadcast(twice) if twice.count() <= FEW_ANCHORS else twice, "h"))
+    twice = materialise(_counts(docs).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
+    seen = materialise(_occurrences(docs, _bitmap(twice)).join(twice, "h"))
     classes = materialise(seen.groupBy("h", "c").agg(F.min(F.struct("id", "tie", "lo", "n")).alias("rep"), F.count("*").alias("members")))
     again = classes.where("members > 1").select("h", "c", "rep")
     copies = seen.join(again, ["h", "c"]).where((F.col("id") != F.col("rep.id")) | (F.col("tie") != F.col("rep.tie")) | (F.col("lo") != F.col("rep.lo")))

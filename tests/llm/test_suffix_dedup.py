@@ -43,7 +43,7 @@ def planted():
 
 @pytest.mark.parametrize("crowd, few, chunk", ((2000, 1_000_000, 6_000_000), (3, 0, 700)))
 def test_against_brute_force(spark, monkeypatch, crowd, few, chunk):
-    for name, value in (("CROWD", crowd), ("FEW_ANCHORS", few), ("FEW_PLACES", few), ("CHUNK_BYTES", chunk), ("ARRAY_BYTES", 2000)):
+    for name, value in (("CROWD", crowd), ("FEW_PLACES", few), ("BITMAP_BITS", 26 if few else 8), ("CHUNK_BYTES", chunk), ("ARRAY_BYTES", 2000)):
         monkeypatch.setattr(s, name, value)
     rows = planted()
     got = s.remove_repeats(frame(spark, rows, extra=("id", "tie", "raw", "a", "h"))).collect()
