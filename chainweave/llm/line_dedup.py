@@ -21,11 +21,13 @@ from chainweave.llm.common import fresh
 from chainweave.llm.components import components
 from chainweave.session import materialise
 
+#: What makes a line one to compare.
+SPOKEN = r"[\p{L}\p{N}]"
 DISTANCE = 3
 SIMILARITY = 0.8
 #: How many blocks, and how many of them make a key, up to which number of fingerprints: keys grow with the input, results do not change.
 PIGEONHOLES = ((1 << 22, 4, 1), (1 << 30, 5, 2), (1 << 62, 6, 3))
-#: Fingerprints in a bucket up to which its pairs are compared one by one.
+#: Fingerprints in a bucket up to which its pairs are compared one by one; a fuller one is keyed by more bits.
 BUCKET = 256
 #: Distinct involved lines up to which their 16-byte keys are broadcast; beyond it they are joined by a shuffle.
 FEW_LINES = 500_000
@@ -35,43 +37,60 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
-def _signs(hashes: Column, width: int) -> Column:
-    """SimHash of an array of 64-bit hashes, with ``width``-bit counters side by side in longs: fewer than 2^(width - 1) hashes, as the topmost counter holds the sign."""
-    ones = sum(1 << at for at in range(0, 64, width))
-    mask = F.lit(ones if ones < 1 << 63 else ones - (1 << 64))
+def _ones(width: int, lanes: int) -> int:
+    return sum(1 << (width * k) for k in range(lanes))
+
+
+def _counted(hashes: Column, width: int) -> Column:
+    """How often each bit is set in an array of 64-bit hashes: ``width`` longs with counters of ``width`` bits side by side.
+
+    Good for fewer than 2^(width - 1) hashes, as the topmost counter holds the sign.
+    """
+    mask = F.lit(_ones(width, 64 // width))
     names = [f"c{i}" for i in range(width)]
     zero = F.struct(*(F.lit(0).cast("long").alias(c) for c in names))
-    counts = F.aggregate(
-        hashes, zero,
-        lambda acc, h: F.struct(*((acc[c] + F.shiftrightunsigned(h, i).bitwiseAND(mask)).alias(c) for i, c in enumerate(names))),
-        lambda acc: _majority(acc, F.size(hashes), width),
+    return F.aggregate(
+        hashes, zero, lambda acc, h: F.struct(*((acc[c] + F.shiftrightunsigned(h, i).bitwiseAND(mask)).alias(c) for i, c in enumerate(names)))
     )
-    return counts
-
 
-def _majority(acc: Column, n: Column, width: int) -> Column:
-    full = F.lit((1 << width) - 1)
-    bits = []
-    for b in range(64):
-        count = F.shiftrightunsigned(acc[f"c{b % width}"], b // width * width).bitwiseAND(full)
-        value = 1 << b if b < 63 else -(1 << 63)
-        bits.append(F.when(2 * count > n, F.lit(value)).otherwise(F.lit(0)).cast("long"))
-    return reduce(lambda x, y: x.bitwiseOR(y), bits)
 
+def _majority(counts: str, n: str, width: int) -> Column:
+    """The bits that are set in over half of ``n`` hashes: what a counter lacks of its highest bit is added to all at once.
 
-def fingerprint(norm: Column) -> Column:
-    """SimHash over the distinct words of a normalised line of any length: a bit is set if it is set in over half of the word hashes."""
-    hashes = F.transform(F.array_distinct(F.split(norm, " ")), lambda w: F.xxhash64(w))
-    n = F.size(hashes)
-    return F.when(n < 1 << 7, _signs(hashes, 8)).when(n < 1 << 15, _signs(hashes, 16)).otherwise(_signs(hashes, 32))
+    The topmost counter is taken by itself, since its highest bit is the sign.
+    """
+    lanes, half = 64 // width, 1 << (width - 1)
+    lack = F.lit(half - 1).cast("long") - F.shiftright(F.col(n).cast("long"), 1)
+    others, highest = F.lit((1 << (64 - width)) - 1), F.lit(half * _ones(width, lanes - 1))
+    out = None
+    for i in range(width):
+        c = F.col(counts)[f"c{i}"]
+        low = F.shiftrightunsigned((c.bitwiseAND(others) + lack * _ones(width, lanes - 1)).bitwiseAND(highest), width - 1)
+        top = F.shiftleft(F.shiftright(F.shiftrightunsigned(c, 64 - width) + lack, width - 1), 64 - width)
+        bits = F.shiftleft(low.bitwiseOR(top), i)
+        out = bits if out is None else out.bitwiseOR(bits)
+    return out
+
+
+def with_fingerprint(df: DataFrame) -> DataFrame:
+    """Add ``fp`` to a table with ``norm``: a bit is set if it is set in over half of the hashes of the distinct words.
+
+    Hashes, counts and bits are steps of their own, so that none is computed anew for each bit. Lines of up to 127, up to
+    32,767 and any more words are counted with counters of 8, 16 and 32 bits.
+    """
+    hashed = df.withColumn("hashes", F.transform(F.array_distinct(F.split("norm", " ")), lambda w: F.xxhash64(w)))
+    n, h = F.size("hashes"), F.col("hashes")
+    counted = hashed.select(
+        *df.columns, n.alias("n"), F.when(n < 1 << 7, _counted(h, 8)).alias("c8"),
+        F.when((n >= 1 << 7) & (n < 1 << 15), _counted(h, 16)).alias("c16"), F.when(n >= 1 << 15, _counted(h, 32)).alias("c32"),
+    )
+    bits = F.when(F.col("n") < 1 << 7, _majority("c8", "n", 8)).when(F.col("n") < 1 << 15, _majority("c16", "n", 16)).otherwise(_majority("c32", "n", 32))
+    return counted.select(*df.columns, bits.alias("fp"))
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, tie, line_no, norm`` of every line; ``tie`` tells documents with the same id apart."""
-    return (
-        docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-        .select("doc_id", "tie", "line_no", normalised(F.col("line")).alias("norm"))
-    )
+    """``doc_id, tie, line_no, line`` of every line; ``tie`` tells documents with the same id apart."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
 
 
 def _key(norm: Column) -> list[Column]:
@@ -79,27 +98,39 @@ def _key(norm: Column) -> list[Column]:
     return [F.xxhash64(norm).alias("k1"), F.xxhash64(norm, F.lit(1)).alias("k2")]
 
 
-def keyed(prints: DataFrame, n: int) -> DataFrame:
-    """A row for each of the keys of ``id, fp``: ``combo`` (which blocks), ``key`` (their bits)."""
-    blocks, choose = next((b, c) for most, b, c in PIGEONHOLES if n <= most)
+def keyed(prints: DataFrame, blocks: int, choose: int) -> DataFrame:
+    """A row for each of the keys of ``id, fp``: ``combo`` (which ``choose`` of the ``blocks``), ``key`` (their bits)."""
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
     masks = [sum(((1 << edges[i + 1]) - (1 << edges[i])) for i in some) for some in combinations(range(blocks), choose)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    each = F.array(*(F.struct(F.lit(i).alias("combo"), F.lit(m).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)))
+    each = F.array(*(F.struct(F.lit(i).alias("combo"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)))
     return prints.select("id", "fp", F.explode(each).alias("e")).select("id", "fp", "e.*")
 
 
 def near_pairs(prints: DataFrame, n: int) -> DataFrame:
-    """Links that connect all ``id, fp`` whose fingerprints differ in at most ``DISTANCE`` bits: pairs, or stars where a bucket is crowded."""
-    rows = keyed(prints, n)
-    sizes = rows.groupBy("combo", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialise(rows.join(sizes, ["combo", "key"]))
-    light = met.where(F.col("n") <= BUCKET).select("combo", "key", "id", "fp")
-    other = light.select("combo", "key", F.col("id").alias("id_b"), F.col("fp").alias("fp_b"))
+    """Links that connect all ``id, fp`` whose fingerprints differ in at most ``DISTANCE`` bits.
+
+    The members of crowded buckets are keyed again by more bits. What is crowded even by the most, a dense group, is linked
+    by stars.
+    """
+    found = None
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= DISTANCE
-    pairs = light.join(other, ["combo", "key"]).where((F.col("id") < F.col("id_b")) & near).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
-    crowded = met.where(F.col("n") > BUCKET).select("id", "fp").distinct()
-    return pairs.union(_stars(crowded))
+    for most, blocks, choose in PIGEONHOLES:
+        if n > most:
+            continue
+        rows = keyed(prints, blocks, choose)
+        sizes = rows.groupBy("combo", "key").agg(F.count("*").alias("n")).where("n > 1")
+        met = materialise(rows.join(sizes, ["combo", "key"]))
+        light = met.where(F.col("n") <= BUCKET).select("combo", "key", "id", "fp")
+        other = light.select("combo", "key", F.col("id").alias("id_b"), F.col("fp").alias("fp_b"))
+        pairs = light.join(other, ["combo", "key"]).where((F.col("id") < F.col("id_b")) & near).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
+        found = pairs if found is None else found.union(pairs)
+        prints = materialise(met.where(F.col("n") > BUCKET).select("id", "fp").distinct())
+        if prints.isEmpty():
+            break
+    else:
+        found = found.union(_stars(prints))
+    return found.distinct()
 
 
 def _stars(prints: DataFrame) -> DataFrame:
@@ -111,7 +142,7 @@ def _stars(prints: DataFrame) -> DataFrame:
     one = prints.select("id", "fp", F.explode(F.concat(F.array(F.lit(0).cast("long")), flips)).alias("f")).select("id", "fp", F.col("fp").bitwiseXOR(F.col("f")).alias("z"))
     hubs = one.groupBy("z").agg(F.min("id").alias("hub"))
     two = one.select("id", F.explode(F.concat(F.array(F.lit(0).cast("long")), flips)).alias("f"), "z").select("id", F.col("z").bitwiseXOR(F.col("f")).alias("z")).distinct()
-    return two.join(hubs, "z").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    return two.join(hubs.hint("merge"), "z").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
 def edit_similar(a: Column, b: Column, least: float = SIMILARITY) -> Column:
@@ -124,9 +155,11 @@ def edit_similar(a: Column, b: Column, least: float = SIMILARITY) -> Column:
 def first_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, tie, line_no`` of every line that stays."""
     every = lines(docs, id_col, text_col)
+    spoken = F.col("line").rlike(SPOKEN)
+    norm = normalised(F.col("line")).alias("norm")
     place = F.struct("doc_id", "tie", "line_no")
     distinct = materialise(
-        every.where("norm <> ''").select(place.alias("place"), *_key(F.col("norm")), fingerprint(F.col("norm")).alias("fp"))
+        with_fingerprint(every.where(spoken).select(place.alias("place"), norm)).select("place", *_key(F.col("norm")), "fp")
         .groupBy("k1", "k2").agg(F.min("place").alias("place"), F.first("fp").alias("fp"))
         .withColumn("id", F.xxhash64("k1", "k2"))
     )
@@ -136,7 +169,7 @@ def first_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     wanted = distinct.join(F.broadcast(involved) if few else involved, "id").select("id", "place.*")
     texts = materialise(
         every.join(F.broadcast(wanted) if few else wanted, (every.doc_id.eqNullSafe(wanted.doc_id)) & (every.tie == wanted.tie) & (every.line_no == wanted.line_no))
-        .select("id", "norm").distinct()
+        .select("id", norm).distinct()
     )
     a, b = texts.select(F.col("id").alias("a"), F.col("norm").alias("norm_a")), texts.select(F.col("id").alias("b"), F.col("norm").alias("norm_b"))
     same = pairs.join(a, "a").join(b, "b").where(edit_similar(F.col("norm_a"), F.col("norm_b"), similarity)).select("a", "b")
@@ -146,7 +179,7 @@ def first_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         .groupBy("root").agg(F.min("place").alias("first")).select(F.col("first").alias("place"))
     )
     alone = distinct.join(groups.select(F.col("node").alias("id")), "id", "left_anti").select("place")
-    blank = every.where("norm = ''").select("doc_id", "tie", "line_no")
+    blank = every.where(~spoken).select("doc_id", "tie", "line_no")
     return alone.union(later).select("place.*").union(blank)
 
 
