@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chainweave.session import materialise
+
 CLASSES = ("lower", "upper", "other letter", "digit", "blank", "line end", "stop", "punctuation", "symbol")
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\r\x0b\x0c"
@@ -125,7 +127,7 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
                 ["lang", "kind", "key", "n"],
             )
 
-    counted = (
+    counted = materialise(
         docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
         .mapInArrow(run, "lang string, kind int, key binary, n long")
         .groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))

@@ -179,7 +179,7 @@ def _ball_links(prints: DataFrame) -> DataFrame:
     flipped = F.when(F.col("i") < 0, F.col("fp")).otherwise(F.expr("fp ^ shiftleft(1L, i)"))
     at = prints.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("i")).select("fp", flipped.alias("z"))
     hubs = at.groupBy("z").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").select("z", "hub")
-    return at.join(hubs, "z").where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
+    return at.join(hubs.hint("merge"), "z").where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
