@@ -21,17 +21,24 @@ def reference_regions(results: DataFrame, threshold: float = 98.0) -> DataFrame:
 
 
 def call_steps(results: DataFrame, threshold: float = 98.0) -> DataFrame:
-    """One row per step of every trusted chain: chr, start, end, step, name and the source region."""
+    """One row per step of every trusted chain: chr, start, end, step, name and the source region.
+
+    A column ``mut_steps`` (array of start and end) holds the places of all steps; without it those of the first three are
+    taken from the flat columns that a result file has.
+    """
     called = results.where((F.col("res_max") > threshold) & (F.col("mut_max") != "ref"))
-    places = F.array(*[F.struct(F.col(f"mut{n}_start").alias("s"), F.col(f"mut{n}_end").alias("e")) for n in (1, 2, 3)])
+    if "mut_steps" in results.columns:
+        places = F.col("mut_steps")
+    else:
+        places = F.array(*[F.struct(F.col(f"mut{n}_start").alias("start"), F.col(f"mut{n}_end").alias("end")) for n in (1, 2, 3)])
     steps = called.select(
         F.col("seqname").alias("chr"), F.col("start").alias("src_start"), F.col("end").alias("src_end"),
         places.alias("_places"), F.posexplode(F.split("mut_max", "\\+")).alias("_i", "name"),
     )
     return (
         steps.withColumn("_at", F.get("_places", "_i"))
-        .where("_at.s is not null and _at.e is not null and _at.e > _at.s")
-        .select("chr", F.col("_at.s").alias("start"), F.col("_at.e").alias("end"), (F.col("_i") + 1).alias("step"), "name", *SOURCE)
+        .where("_at.start is not null and _at.end is not null and _at.end > _at.start")
+        .select("chr", F.col("_at.start").alias("start"), F.col("_at.end").alias("end"), (F.col("_i") + 1).alias("step"), "name", *SOURCE)
     )
 
 

@@ -41,13 +41,12 @@ def write_paf(df: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def write_results(df: DataFrame, path: str, mode: str = "error") -> None:
-    """Result rows as TSV with a header, one sub-folder per region."""
+    """Result rows as one TSV table with a header, in the order of the genome; ``region`` names a row's region."""
     from chainweave.plans.regions import RESULT_COLUMNS
 
     place = F.concat_ws("-", "seqname", F.col("start").cast("string"), F.col("end").cast("string"))
-    df.select(*RESULT_COLUMNS, place.alias("region")).write.mode(mode).option("sep", "\t").option("header", True).option(
-        "nullValue", "NA"
-    ).partitionBy("region").csv(path)
+    rows = df.select(*RESULT_COLUMNS, place.alias("region")).orderBy("seqname", "start", "end")
+    rows.write.mode(mode).option("sep", "\t").option("header", True).option("nullValue", "NA").csv(path)
 
 
 def write_fasta(seqs: DataFrame, path: str, mode: str = "error") -> None:

@@ -186,3 +186,24 @@ def test_shred_time_grows_with_the_record(spark):
         assert sq.shred(rows, 10_000).count() == mb * 100
         took[mb] = time.time() - start
     assert took[16] < 30 * max(took[2], 0.1)
+
+
+def test_a_fourth_step_is_a_call(spark):
+    row = result_row(mut_max="1_2_inv+2_3_del+3_4_inv+4_5_dup")
+    places = [(1000 * k, 1000 * k + 500) for k in range(1, 5)]
+    df = results(spark, [row]).withColumn("mut_steps", F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in places]))
+    got = sorted((r.step, r.start, r.end, r.name) for r in ca.call_steps(df).collect())
+    assert got == [(k + 1, *places[k], n) for k, n in enumerate(row["mut_max"].split("+"))]
+
+
+def test_results_are_one_table(spark, tmp_path):
+    from chainweave.plans.regions import RESULT_COLUMNS
+
+    flat = spark.range(5).select(
+        *[F.concat(F.lit("chr"), F.col("id") % 2).alias(c) if c == "seqname" else (F.col("id") * 10).alias(c) if c in ("start", "end")
+          else F.lit(None).cast("string").alias(c) for c in RESULT_COLUMNS]
+    )
+    writers.write_results(flat, str(tmp_path / "r"))
+    assert not [p for p in (tmp_path / "r").iterdir() if p.is_dir()]
+    back = readers.read_results(spark, str(tmp_path / "r"))
+    assert back.columns == list(RESULT_COLUMNS) and sorted(r.start for r in back.collect()) == [0, 10, 20, 30, 40]
