@@ -37,7 +37,7 @@ CROWD = 2000
 #: Bytes in one suffix array.
 ARRAY_BYTES = 100_000
 #: Rows up to which a table of owned places (some 40 bytes each) is broadcast; beyond it the join is a shuffle.
-FEW_PLACES = 1_500_000
+FEW_PLACES = 1_000_000
 #: Bits of the bitmap of repeated anchors (8 MB, whatever the input): it only spares a join rows that it would drop.
 BITMAP_BITS = 26
 
@@ -259,9 +259,9 @@ def _bitmap(twice: DataFrame) -> np.ndarray:
     """A bit for each value of the low bits of the hashes. Of fixed size, so it may pass through the driver."""
     word = F.shiftright("h", 6).bitwiseAND(F.lit((1 << BITMAP_BITS - 6) - 1))
     bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    rows = twice.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    rows = twice.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     out = np.zeros(1 << BITMAP_BITS - 6, np.uint64)
-    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return out
 
 
