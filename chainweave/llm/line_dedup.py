@@ -145,11 +145,32 @@ def _stars(prints: DataFrame) -> DataFrame:
     return two.join(hubs.hint("merge"), "z").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
-def edit_similar(a: Column, b: Column, least: float = SIMILARITY) -> Column:
-    """Whether 1 - edit distance / longer length is at least ``least``; most pairs fail on their lengths alone."""
-    longer, shorter = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
-    allowed = F.floor((1 - least) * longer + 1e-9).cast("int")
-    return F.when(longer - shorter > allowed, False).otherwise((F.levenshtein(a, b) <= allowed))
+def edit_similar(pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The rows of ``a, b, norm_a, norm_b`` where 1 - edit distance / longer length is at least ``least``.
+
+    Equal words at both ends (each with its blank) do not count for the distance and are taken off first. What is left is
+    near enough if the longer rest is no longer than the distance allowed, too far if the lengths differ by more, and else
+    compared within that distance.
+    """
+    n_a, n_b = F.length("norm_a"), F.length("norm_b")
+    allowed = F.floor((1 - least) * F.greatest(n_a, n_b) + 1e-9).cast("int")
+
+    def alike(x: str, y: str) -> Column:
+        """How many words agree from the start on."""
+        unlike = F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), F.lit(False)).cast("int")
+        return F.when(unlike > 0, unlike - 1).otherwise(F.size(x))
+
+    def rest(x: str) -> Column:
+        return F.array_join(F.transform(F.slice(x, F.lit(1), F.size(x) - F.col("ends")), lambda w: F.concat(w, F.lit(" "))), "")
+
+    near = pairs.withColumn("allowed", allowed).where(F.abs(n_a - n_b) <= F.col("allowed"))
+    words = near.select("a", "b", "allowed", F.split("norm_a", " ").alias("x"), F.split("norm_b", " ").alias("y"))
+    begun = words.withColumn("starts", alike("x", "y"))
+    cut = begun.select("a", "b", "allowed", *(F.slice(c, F.col("starts") + 1, F.size(c)).alias(c) for c in ("x", "y")))
+    turned = cut.select("a", "b", "allowed", "x", "y", F.reverse("x").alias("rx"), F.reverse("y").alias("ry")).withColumn("ends", alike("rx", "ry"))
+    left = turned.select("a", "b", "allowed", rest("x").alias("x"), rest("y").alias("y"))
+    short = F.greatest(F.length("x"), F.length("y")) <= F.col("allowed")
+    return left.where(F.when(short, True).otherwise(F.expr("levenshtein(x, y, allowed) >= 0"))).select("a", "b")
 
 
 def first_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -172,8 +193,7 @@ def first_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         .select("id", norm).distinct()
     )
     a, b = texts.select(F.col("id").alias("a"), F.col("norm").alias("norm_a")), texts.select(F.col("id").alias("b"), F.col("norm").alias("norm_b"))
-    same = pairs.join(a, "a").join(b, "b").where(edit_similar(F.col("norm_a"), F.col("norm_b"), similarity)).select("a", "b")
-    groups = components(same)
+    groups = components(edit_similar(pairs.join(a, "a").join(b, "b"), similarity))
     later = (
         groups.join(distinct.select(F.col("id").alias("node"), "place"), "node")
         .groupBy("root").agg(F.min("place").alias("first")).select(F.col("first").alias("place"))

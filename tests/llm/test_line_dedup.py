@@ -100,6 +100,20 @@ def test_pigeonholes_agree(spark, pigeonholes):
     assert got == {(i, j) for i in range(len(prints)) for j in range(i + 1, len(prints)) if (prints[i] ^ prints[j]).bit_count() <= 3}
 
 
+def test_edit_similarity_is_exact(spark):
+    import random
+
+    r = random.Random(8)
+    pairs = [("", ""), ("a", "a"), ("x y z", "x z"), ("x z", "x y z"), ("a b c d e f g h i j", "a b c d e f g h i j k l"), ("a a a a a", "a a a a")]
+    for _ in range(300):
+        x = [r.choice(("ab", "c", "def", "gh")) for _ in range(r.randint(1, 14))]
+        y = [w for w in x if r.random() > 0.1] + ["zz"] * (r.random() < 0.3)
+        pairs.append((" ".join(x), " ".join(y)))
+    df = spark.createDataFrame([(i, i, x, y) for i, (x, y) in enumerate(pairs)], "a long, b long, norm_a string, norm_b string")
+    got = {row.a for row in line_dedup.edit_similar(df).collect()}
+    assert got == {i for i, (x, y) in enumerate(pairs) if distance(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9)}
+
+
 def test_empty(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).collect() == []
     assert line_dedup.dedup_lines(frame(spark, [(1, None, None, None, None)])).first().text is None
