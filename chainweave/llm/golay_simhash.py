@@ -7,9 +7,10 @@ agree in at least one segment, and the segment behind it differs in at most two
 bits, a codeword index near the next segment) is shared by every linked pair: a fingerprint has 3 to 18 keys, linked
 fingerprints meet in a bucket, and the pairs of a bucket are verified.
 
-``near_duplicates`` links fingerprints of shingles. ``deduplicate`` keeps one document of each group of similar ones: it looks
-for candidates with several fingerprints over the distinct words, which a few edits change little, and verifies them by the
-Jaccard similarity of their five-word shingles.
+``near_duplicates`` links fingerprints of shingles. ``deduplicate`` keeps one document of each group of similar ones by the
+Jaccard similarity of their five-word shingles. Fingerprints over the distinct words join most of them cheaply. The rest is
+found by an exact prefix filter: shingles are put in one order for all texts, and texts with a similarity of s or more share
+a shingle among the first n - ceil(s n) + 1 of each. Every pair that meets there and is not joined yet is verified.
 
 Only distinct fingerprints enter, each with its least document. A bucket with more than ``BUCKET`` fingerprints is not
 paired: its fingerprints spread to the 65 values within one bit, and all that meet at a value (they differ in at most
@@ -18,16 +19,18 @@ two bits through it) are linked to the least of them. That is exact too and line
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainweave.llm.common import fresh
 from chainweave.llm.components import components
+from chainweave.llm.suffix_dedup import _bitmap
 from chainweave.session import materialise
 
 #: Places and widths of the segments of a fingerprint.
@@ -209,6 +212,10 @@ WORD_PRINTS = 4
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Texts up to which their 16-byte keys are broadcast; beyond it they are joined by a shuffle.
 FEW_TEXTS = 500_000
+#: Shingles whose highest byte is below this are counted over all texts: more than a prefix needs of most texts.
+COUNTED = np.uint64(77)
+#: Rounds in which the texts of a crowded token are compared with one of them, before all pairs that are left are.
+HUB_ROUNDS = 2
 
 
 def word_fingerprints(texts: list[bytes | None], prints: int = WORD_PRINTS) -> np.ndarray:
@@ -251,11 +258,97 @@ def _candidates(texts: DataFrame) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _has(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    word = (hashes >> np.uint64(6) & np.uint64(len(marks) - 1)).astype(np.int64)
+    return (marks[word] >> (hashes & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def prefix(hashes: np.ndarray, similarity: float, twice: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The shingles of a text under which it meets all texts with ``similarity`` or more; 0 for a text without shingles.
+
+    Order: counted shingles that no other text has, counted ones of few texts, those not counted, those of many texts; each
+    by hash. It follows from the hash and the bitmaps alone, so it is the same for all texts, and a bit set in vain costs
+    only time. The first kind meets nothing and is not returned.
+    """
+    n = len(hashes)
+    if not n:
+        return np.zeros(1, np.uint64)
+    counted = hashes >> np.uint64(56) < COUNTED
+    kind = np.where(counted, np.where(_has(often, hashes), 3, np.where(_has(twice, hashes), 1, 0)), 2)
+    first = np.lexsort((hashes, kind))[: n - math.ceil(similarity * n - 1e-9) + 1]
+    return hashes[first[kind[first] > 0]]
+
+
+def _prefixes(raw: DataFrame, similarity: float) -> DataFrame:
+    """``token, node, size`` (number of shingles) of ``node, raw``, for every shingle in a text's prefix."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                sets = [shingle_set(x) for x in _raw(batch.slice(at, 500).column(1))]
+                h, n = np.unique(np.concatenate([x[x >> np.uint64(56) < COUNTED] for x in sets]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], ["h", "n"])
+
+    met = materialise(raw.mapInArrow(count, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"))
+    marks = raw.sparkSession.sparkContext.broadcast((_bitmap(met), _bitmap(met.where(F.col("n") > BUCKET))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                sets = [shingle_set(x) for x in _raw(some.column(1))]
+                tokens = [prefix(x, similarity, *marks.value) for x in sets]
+                of = np.repeat(np.arange(len(sets)), [len(x) for x in tokens])
+                sizes = np.array([len(x) for x in sets], np.int32)[of]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), some.column(0).take(pa.array(of)), pa.array(sizes)], ["token", "node", "size"])
+
+    return raw.mapInArrow(run, "token long, node long, size int").distinct()
+
+
+def _raw(column: pa.Array) -> list[bytes]:
+    return [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in column]
+
+
+def _unsettled(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``token, n, node, size, comp`` of the tokens whose texts are not all joined; of tokens with the same texts one."""
+    joined = rows.join(groups, "node", "left").select("token", "node", "size", F.coalesce("root", "node").alias("comp"))
+    told = joined.groupBy("token").agg(
+        F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")
+    )
+    one = told.where("lo <> hi").groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token", "n")
+    return materialise(joined.join(one, "token").select("token", "n", "node", "size", "comp"))
+
+
+def _alike(similarity: float) -> Column:
+    """Whether two texts are not joined yet and near enough in size."""
+    a, b = F.col("size").cast("double"), F.col("size_b").cast("double")
+    return (F.col("comp") != F.col("comp_b")) & (F.least(a, b) >= similarity * F.greatest(a, b) - 1e-6)
+
+
+def _hub_pairs(rows: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """``a, b``: each text of a crowded token and one that chance chooses among them."""
+    hub = rows.groupBy("token").agg(F.min_by(F.struct("node", "size", "comp"), F.xxhash64("node", F.lit(turn))).alias("hub"))
+    met = rows.join(hub.select("token", F.col("hub.node").alias("b"), F.col("hub.size").alias("size_b"), F.col("hub.comp").alias("comp_b")), "token")
+    return met.where(_alike(similarity)).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+
+
+def _all_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: all pairs of a token's texts that are not joined; crowded tokens in blocks of about ``BUCKET`` by ``BUCKET``."""
+    blocks = F.ceil(F.col("n") / F.lit(max(1, BUCKET))).cast("int")
+    cut = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    left = cut.select("token", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), "node", "size", "comp")
+    right = cut.select(
+        "token", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("comp").alias("comp_b")
+    )
+    met = left.join(right, ["token", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("node") < F.col("b"))) & _alike(similarity))
+    return met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The documents, with all columns, but of each group of similar ones only that with the least id (null first).
 
-    Equal texts are similar; so are texts found by their fingerprints whose five-word shingles have a Jaccard similarity of
-    ``similarity`` or more (A-Z in lower case; a text of fewer words is one shingle). Groups are connected. A null text is
+    Equal texts are similar; so are all texts whose five-word shingles have a Jaccard similarity of ``similarity`` or more
+    (A-Z in lower case; a text of fewer words is one shingle). Groups are connected. A null text is
     one without a word, and those are all alike. Of equal rows one stays. An empty table gives no rows.
     Columns of any other name pass through.
     """
@@ -274,28 +367,41 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = materialise(
         printed.groupBy("k1", "k2").agg(F.min("did").alias("did"), F.first("fps").alias("fps")).withColumn("node", F.xxhash64("k1", "k2"))
     )
-    pairs = materialise(_candidates(texts))
-    involved = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialise(texts.join(involved, "node").select("node", "did", "k1", "k2"))
-    named = wanted.toDF("node", did, k1, k2)
-    small = F.broadcast(named) if wanted.count() <= FEW_TEXTS else named
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(x.as_buffer().to_pybytes() if x.is_valid else b"").tobytes() for x in batch.column(1)]
+            sets = [shingle_set(x).tobytes() for x in _raw(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    sets = materialise(
-        marked.select(did, k1, k2, F.col(text_col).cast("binary").alias("raw_")).join(small, [did, k1, k2]).select("node", "raw_").mapInArrow(shingled, "node long, shingles binary").dropDuplicates(["node"])
-    )
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(i)] for i in (2, 3))
             yield batch.select(["a", "b"]).filter(pa.array([jaccard(p, q) >= similarity for p, q in zip(x, y)], pa.bool_()))
 
-    joined = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-    groups = components(joined.mapInArrow(verified, "a long, b long"))
+    def similar(pairs: DataFrame) -> DataFrame:
+        """The pairs that are similar."""
+        involved = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = materialise(texts.join(involved, "node").select("node", "did", "k1", "k2"))
+        named = wanted.toDF("node", did, k1, k2)
+        small = F.broadcast(named) if wanted.count() <= FEW_TEXTS else named
+        raw = marked.select(did, k1, k2, F.col(text_col).cast("binary").alias("raw_")).join(small, [did, k1, k2]).select("node", "raw_")
+        sets = materialise(raw.mapInArrow(shingled, "node long, shingles binary").dropDuplicates(["node"]))
+        joined = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
+        return materialise(joined.mapInArrow(compared, "a long, b long"))
+
+    edges = similar(materialise(_candidates(texts)))
+    groups = components(edges)
+    rows = materialise(_prefixes(marked.select(F.xxhash64(k1, k2).alias("node"), F.col(text_col).cast("binary").alias("raw")), similarity))
+    met = _unsettled(rows, groups)
+    for k in range(HUB_ROUNDS):
+        crowded = met.where(F.col("n") > BUCKET)
+        if crowded.isEmpty():
+            break
+        edges = edges.union(similar(materialise(_hub_pairs(crowded, similarity, k))))
+        groups = components(edges)
+        met = _unsettled(met.select("token", "node", "size"), groups)
+    edges = edges.union(similar(materialise(_all_pairs(met, similarity))))
+    groups = components(edges)
     of = texts.join(groups, "node", "left").select(F.coalesce("root", "node").alias("group"), F.struct("did", "k1", "k2").alias("place"))
     stay = materialise(of.groupBy("group").agg(F.min("place").alias("place")).select("place.*"))
     once = Window.partitionBy(did, k1, k2).orderBy(F.lit(1))

@@ -88,3 +88,40 @@ def test_deduplicate_keeps_one_of_each_group(spark, monkeypatch, few):
     kept = list(sets)
     assert not any(g.jaccard(sets[a], sets[b]) >= 0.8 for i, a in enumerate(kept) for b in kept[:i])
     assert g.deduplicate(frame(spark, [])).collect() == []
+
+
+def similar_pairs(seed=6, n=40):
+    """Texts of distinct words and their copies: appended, truncated, and with scattered edits, all at a similarity of 0.8 to 0.9."""
+    r = random.Random(seed)
+    rows = []
+    for k in range(n):
+        w = [f"w{r.getrandbits(40):x}" for _ in range(300)]
+        more = [f"w{r.getrandbits(40):x}" for _ in range(60)]
+        scattered = w.copy()
+        for at in range(10, 300, 50):
+            scattered[at] = f"w{r.getrandbits(40):x}"
+        rows.append([" ".join(x) for x in (w, w + more, w[:250], scattered)])
+    return rows
+
+
+@pytest.mark.parametrize("bucket", (32, 2))
+def test_deduplicate_finds_every_similar_pair(spark, monkeypatch, bucket):
+    monkeypatch.setattr(g, "BUCKET", bucket)
+    rows = [(10 * k + i, x, "en", "s", 1) for k, some in enumerate(similar_pairs()) for i, x in enumerate((some[0], some[1 + k % 3]))]
+    for k in range(0, len(rows), 2):
+        assert 0.8 <= g.jaccard(*(g.shingle_set(r[1].encode()) for r in rows[k : k + 2])) < 0.93
+    assert sorted(r.doc_id for r in g.deduplicate(frame(spark, rows)).collect()) == [10 * k for k in range(40)]
+
+
+@pytest.mark.parametrize("bucket", (32, 2))
+def test_deduplicate_loses_no_pair_with_an_unlike_hub(spark, monkeypatch, bucket):
+    """All texts have the same words, so the same fingerprints; only some are in nearly the same order."""
+    monkeypatch.setattr(g, "BUCKET", bucket)
+    r = random.Random(7)
+    words, rows = [f"v{k}" for k in range(150)], []
+    for k in range(12):
+        r.shuffle(words)
+        swapped = words.copy()
+        swapped[70], swapped[71] = swapped[71], swapped[70]
+        rows += [(100 * k, " ".join(words), "en", "s", 1), (100 * k + 1, " ".join(swapped), "en", "s", 1), (100 * k + 2, " ".join(words[:-8]), "en", "s", 1)]
+    assert sorted(x.doc_id for x in g.deduplicate(frame(spark, rows)).collect()) == [100 * k for k in range(12)]
