@@ -4,7 +4,8 @@ Lines are normalised (lower case; each run of anything but letters and digits is
 line of which the first occurrence counts, by document and then by place. The distinct lines get a SimHash of 64 bits over
 their distinct words. Fingerprints that differ in at most three bits agree in a whole block if the bits are cut into more
 blocks than three, and in two or three whole blocks at once if into five or six; joining on those finds every such pair.
-Pairs are verified by edit similarity, their connected groups are found, and each group keeps its first occurrence.
+Pairs are verified by edit similarity, their connected groups are found, and each group keeps its first occurrence. In
+crowded buckets stars are verified first, then all pairs that these have not joined.
 
 What has no letter or digit is no line to compare and stays. Documents stay too, if need be with an empty text.
 """
@@ -107,11 +108,10 @@ def keyed(prints: DataFrame, blocks: int, choose: int) -> DataFrame:
     return prints.select("id", "fp", F.explode(each).alias("e")).select("id", "fp", "e.*")
 
 
-def near_pairs(prints: DataFrame, n: int) -> DataFrame:
-    """Links that connect all ``id, fp`` whose fingerprints differ in at most ``DISTANCE`` bits.
+def close_pairs(prints: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """``a, b`` of all ``id, fp`` whose fingerprints differ in at most ``DISTANCE`` bits, but for those that meet only in ``combo, key, id, fp, n``.
 
-    The members of crowded buckets are keyed again by more bits. What is crowded even by the most, a dense group, is linked
-    by stars.
+    The members of crowded buckets are keyed again by more bits. What is crowded even by the most is the second table.
     """
     found = None
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= DISTANCE
@@ -125,18 +125,43 @@ def near_pairs(prints: DataFrame, n: int) -> DataFrame:
         other = light.select("combo", "key", F.col("id").alias("id_b"), F.col("fp").alias("fp_b"))
         pairs = light.join(other, ["combo", "key"]).where((F.col("id") < F.col("id_b")) & near).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
         found = pairs if found is None else found.union(pairs)
-        prints = materialise(met.where(F.col("n") > BUCKET).select("id", "fp").distinct())
+        left = met.where(F.col("n") > BUCKET)
+        prints = materialise(left.select("id", "fp").distinct())
         if prints.isEmpty():
             break
-    else:
-        found = found.union(_stars(prints))
-    return found.distinct()
+    return found.distinct(), left
+
+
+def near_pairs(prints: DataFrame, n: int) -> DataFrame:
+    """Links that connect all ``id, fp`` whose fingerprints differ in at most ``DISTANCE`` bits; a dense group by stars."""
+    found, left = close_pairs(prints, n)
+    return found.union(_stars(left.select("id", "fp").distinct())).distinct()
+
+
+def rest_pairs(left: DataFrame, groups: DataFrame) -> DataFrame:
+    """``a, b``: the pairs of crowded buckets that are near and not joined by ``groups`` yet, in blocks of about ``BUCKET`` by ``BUCKET``."""
+    joined = left.join(groups.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    open_ = joined.groupBy("combo", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("combo", "key")
+    blocks = F.ceil(F.col("n") / F.lit(BUCKET)).cast("int")
+    cut = materialise(
+        joined.join(open_, ["combo", "key"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    )
+    one = cut.select("combo", "key", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), "id", "fp", "root")
+    two = cut.select(
+        "combo", "key", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"),
+        F.col("id").alias("id_b"), F.col("fp").alias("fp_b"), F.col("root").alias("root_b"),
+    )
+    once = (F.col("i") < F.col("j")) | (F.col("id") < F.col("id_b"))
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= DISTANCE
+    met = one.join(two, ["combo", "key", "i", "j"]).where(once & near & (F.col("root") != F.col("root_b")))
+    return met.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
 
 
 def _stars(prints: DataFrame) -> DataFrame:
     """Whoever is within two bits of a value to which others are within one bit is linked to the least of those.
 
-    Three bits between two fingerprints have such a value on their way, so nothing is lost, in rows linear in the input.
+    Three bits between two fingerprints have such a value on their way, so all are connected, in rows linear in the input. A pair
+    may be so through others only: what is not joined once the links are verified is for ``rest_pairs``.
     """
     flips = F.array(*(F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(64)))
     one = prints.select("id", "fp", F.explode(F.concat(F.array(F.lit(0).cast("long")), flips)).alias("f")).select("id", "fp", F.col("fp").bitwiseXOR(F.col("f")).alias("z"))
@@ -184,16 +209,26 @@ def first_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         .groupBy("k1", "k2").agg(F.min("place").alias("place"), F.first("fp").alias("fp"))
         .withColumn("id", F.xxhash64("k1", "k2"))
     )
-    pairs = materialise(near_pairs(distinct.select("id", "fp"), distinct.count()))
-    involved = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    few = involved.count() <= FEW_LINES
-    wanted = distinct.join(F.broadcast(involved) if few else involved, "id").select("id", "place.*")
-    texts = materialise(
-        every.join(F.broadcast(wanted) if few else wanted, (every.doc_id.eqNullSafe(wanted.doc_id)) & (every.tie == wanted.tie) & (every.line_no == wanted.line_no))
-        .select("id", norm).distinct()
-    )
-    a, b = texts.select(F.col("id").alias("a"), F.col("norm").alias("norm_a")), texts.select(F.col("id").alias("b"), F.col("norm").alias("norm_b"))
-    groups = components(edit_similar(pairs.join(a, "a").join(b, "b"), similarity))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """The pairs that are similar."""
+        involved = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+        few = involved.count() <= FEW_LINES
+        wanted = distinct.join(F.broadcast(involved) if few else involved, "id").select("id", "place.*")
+        texts = materialise(
+            every.join(F.broadcast(wanted) if few else wanted, (every.doc_id.eqNullSafe(wanted.doc_id)) & (every.tie == wanted.tie) & (every.line_no == wanted.line_no))
+            .select("id", norm).distinct()
+        )
+        a, b = texts.select(F.col("id").alias("a"), F.col("norm").alias("norm_a")), texts.select(F.col("id").alias("b"), F.col("norm").alias("norm_b"))
+        return materialise(edit_similar(pairs.join(a, "a").join(b, "b"), similarity))
+
+    found, left = close_pairs(distinct.select("id", "fp"), distinct.count())
+    crowded = not left.isEmpty()
+    stars = _stars(left.select("id", "fp").distinct()) if crowded else None
+    edges = similar(materialise(found.union(stars).distinct() if crowded else found))
+    groups = components(edges)
+    if crowded:  # stars save work where they hold; where they do not, all pairs that are not joined are compared
+        groups = components(edges.union(similar(materialise(rest_pairs(left, groups)))))
     later = (
         groups.join(distinct.select(F.col("id").alias("node"), "place"), "node")
         .groupBy("root").agg(F.min("place").alias("first")).select(F.col("first").alias("place"))

@@ -114,6 +114,22 @@ def test_edit_similarity_is_exact(spark):
     assert got == {i for i, (x, y) in enumerate(pairs) if distance(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9)}
 
 
+def test_no_pair_is_lost_with_an_unlike_hub(spark, monkeypatch):
+    """All lines have the same words, so the same fingerprint; each is like one other only."""
+    import random
+
+    monkeypatch.setattr(line_dedup, "BUCKET", 2)
+    r = random.Random(9)
+    words, rows = [f"v{k}" for k in range(60)], []
+    for k in range(8):
+        r.shuffle(words)
+        swapped = words.copy()
+        swapped[20], swapped[21] = swapped[21], swapped[20]
+        rows += [(100 * k, " ".join(words), "en", "s", 1), (100 * k + 1, " ".join(swapped), "en", "s", 1)]
+    got = {x.doc_id: x.n_removed for x in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {i: i % 100 for i, *_ in rows}
+
+
 def test_empty(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).collect() == []
     assert line_dedup.dedup_lines(frame(spark, [(1, None, None, None, None)])).first().text is None
