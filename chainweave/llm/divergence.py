@@ -4,7 +4,8 @@ A document's histogram of character classes and its histogram of the language's
 all text in its language by the Jensen-Shannon distance (the root of the divergence to base 2, so 0 to 1). The references
 are counted over the whole corpus. A short document has a ragged histogram, so each test has a least length; a language
 with too little text is no reference. A document that is far from its own language's reference is compared with the other
-languages before it is rejected, since the label may be wrong.
+languages before it is rejected, since the label may be wrong. Where there is no reference of a document's own language,
+far from all others says nothing, and the base rules alone decide.
 """
 
 from __future__ import annotations
@@ -155,7 +156,10 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
 
 
 def verdict(text: str, words: list[bytes], lang: str | None, refs: dict) -> tuple[float | None, float | None, bool]:
-    """Class and word distance to the language (to the nearest one if that is too far or unknown), and whether the text is kept."""
+    """Class and word distance to the language (to the nearest one if that is too far or unknown), and whether the text is kept.
+
+    Only a language with a reference of its own can reject.
+    """
     chars, counts, best = char_histogram(text), Counter(words), None
     for own in ([lang] if lang in refs else []) + [x for x in refs if x != lang]:
         ref_chars, common, ref_words = refs[own]
@@ -166,7 +170,7 @@ def verdict(text: str, words: list[bytes], lang: str | None, refs: dict) -> tupl
         if good:
             return c, w, True
         best = min(best or (c, w), (c, w), key=sum)
-    return (*best, False) if best else (None, None, True)
+    return (*best, lang not in refs) if best else (None, None, True)
 
 
 RULES = (
@@ -178,8 +182,8 @@ RULES = (
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
     """The id, the columns in ``keep``, the base counts, both distances and the verdict of every document.
 
-    A null or empty text has no words and fails; a null language, or one without enough text, is compared with all
-    references; without any reference the base alone decides; repeated rows are judged each, alike; an empty table gives no
+    A null or empty text has no words and fails; for a null language, or one without enough text, the base
+    alone decides, and the distances are those to the nearest reference, if there is any; repeated rows are judged each, alike; an empty table gives no
     rows; other columns are not read.
     """
     refs = references(docs, lang_col, text_col)

@@ -57,3 +57,13 @@ def test_empty(spark):
     assert d.judged(spark.createDataFrame([], SCHEMA)).collect() == []
     alone = d.judged(frame(spark, [(1, prose(1, 200), None, None, 1), (2, None, None, None, None)]))
     assert {r.doc_id: r.kept for r in alone.collect()} == {1: True, 2: False}
+
+
+def test_a_language_without_reference_rejects_nothing(spark):
+    rows = [(i, prose(i, 300), "en", "s", 1) for i in range(80)]
+    other = ["".join(chr(ord(c) + 0x3B0 - 0x60) if c.isalpha() else c for c in " ".join(w + "q" for w in prose(500 + i, 150).split())) for i in range(6)]
+    rare = [(200 + i, x, "el" if i % 2 else None, "s", 1) for i, x in enumerate(other)]
+    labelled = [(300 + i, x, "en", "s", 1) for i, x in enumerate(other)]
+    got = {r.doc_id: r for r in d.judged(frame(spark, rows + rare + labelled)).collect()}
+    assert all(got[r[0]].kept and got[r[0]].word_distance > d.WORD_LIMIT for r in rare)
+    assert not any(got[r[0]].kept for r in labelled)
