@@ -33,6 +33,8 @@ GRAM = 48
 #: Bases of the rolling hashes of grams and of owned bytes (odd, so that they can be divided out).
 GRAM_BASE, CLASS_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 CHUNK_BYTES = 1_500_000
+#: Bits for a place among the texts that are looked through at once.
+PLACE_BITS = 24
 CROWD = 2000
 #: Bytes in one suffix array.
 ARRAY_BYTES = 100_000
@@ -181,18 +183,21 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def anchors(texts: list[bytes], only: np.ndarray | None = None, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
     """For each anchor: doc (place in ``texts``), h (hash of its gram), c (hash of its owned bytes), lo (where they begin) and n (how many windows it owns).
 
-    ``only`` is a bitmap of hashes; with it other anchors are left out, and without it c is.
+    ``only`` is a bitmap of hashes; with it other anchors are left out, and without it c is. All texts together have fewer
+    than 2^PLACE_BITS bytes.
     """
     sizes = np.array([len(t) for t in texts], np.int64)
     raw = np.frombuffer(b"".join(texts), np.uint8)
+    if len(raw) >= 1 << PLACE_BITS:
+        raise ValueError(f"{len(raw)} bytes have places of more than {PLACE_BITS} bits")
     begin = np.cumsum(sizes) - sizes
     none = {k: np.zeros(0, np.int64) for k in ("doc", "h", "c", "lo", "n")}
     if len(raw) < length:
         return none
     sums, down = _sums(raw, GRAM_BASE)
     grams = _mixed((sums[gram:] - sums[:-gram]) * down[: len(raw) - gram + 1])
-    # the upper 40 bits decide, then the place: the leftmost of equal ones, wherever the window stands
-    low = np.uint64((1 << 24) - 1)
+    # the upper bits decide, then the place: the leftmost of equal ones, wherever the window stands
+    low = np.uint64((1 << PLACE_BITS) - 1)
     ranked = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
     w = length - gram + 1
     blocks = np.concatenate((ranked, np.full(-len(ranked) % w, ~np.uint64(0)))).reshape(-1, w)
@@ -236,20 +241,34 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def _pieces(texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
-    """Documents cut so that a cut is below 2^24 bytes; cuts overlap by a window less a byte, so each window lies in one."""
+    """Documents cut so that a cut is of about 2 x CHUNK_BYTES; cuts overlap by a window less a byte, so each window lies in one."""
     for k, t in enumerate(texts):
         step = 2 * CHUNK_BYTES
         for at in range(0, max(1, len(t) - LENGTH + 1), step):
             yield k, at, t[at : at + step + LENGTH - 1]
 
 
+def _runs(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """The pieces of documents in runs whose places fit ``PLACE_BITS``."""
+    run, size = [], 0
+    for piece in _pieces(texts):
+        if run and size + len(piece[2]) >= 1 << PLACE_BITS:
+            yield run
+            run, size = [], 0
+        run.append(piece)
+        size += len(piece[2])
+    if run:
+        yield run
+
+
 def _counts(docs: DataFrame) -> DataFrame:
     """``h, n``: the anchors of each part of a batch, and how often (two stands for more)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _chunks(batch, 2):
-                h, n = np.unique(anchors([t for _, _, t in _pieces(_bytes(part.column(2)))])["h"], return_counts=True)
+                found = [anchors([t for _, _, t in cut])["h"] for cut in _runs(_bytes(part.column(2)))]
+                h, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.minimum(n, 2))], ["h", "n"])
 
     return docs.mapInArrow(run, "h long, n long")
@@ -272,14 +291,14 @@ def _occurrences(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _chunks(batch, 2):
-                cut = list(_pieces(_bytes(part.column(2))))
-                found = anchors([t for _, _, t in cut], shared.value)
-                of = np.array([k for k, _, _ in cut], np.int64)[found["doc"]]
-                lo = found["lo"] + np.array([at for _, at, _ in cut], np.int64)[found["doc"]]
-                ids = [part.column(i).take(pa.array(of)) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found["h"]), pa.array(found["c"]), *ids, pa.array(lo), pa.array(found["n"].astype(np.int32))], ["h", "c", "id", "tie", "lo", "n"]
-                )
+                for cut in _runs(_bytes(part.column(2))):
+                    found = anchors([t for _, _, t in cut], shared.value)
+                    of = np.array([k for k, _, _ in cut], np.int64)[found["doc"]]
+                    lo = found["lo"] + np.array([at for _, at, _ in cut], np.int64)[found["doc"]]
+                    ids = [part.column(i).take(pa.array(of)) for i in (0, 1)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(found["h"]), pa.array(found["c"]), *ids, pa.array(lo), pa.array(found["n"].astype(np.int32))], ["h", "c", "id", "tie", "lo", "n"]
+                    )
 
     return docs.mapInArrow(run, "h long, c long, id long, tie long, lo long, n int")
 

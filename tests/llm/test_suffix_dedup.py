@@ -52,6 +52,18 @@ def test_against_brute_force(spark, monkeypatch, crowd, few, chunk):
     assert sum(r.n_removed for r in got) > 9000
 
 
+def test_a_text_with_more_places_than_fit(spark, monkeypatch):
+    monkeypatch.setattr(s, "CHUNK_BYTES", 700)
+    monkeypatch.setattr(s, "PLACE_BITS", 12)
+    long = prose(88, 3000)
+    rows = [(1, long, "en", "s", 1), (2, prose(89, 40) + long[9000:9500] + prose(90, 40), "en", "s", 1), (3, prose(91, 2500) + long[6000:6400], "en", "s", 1)]
+    assert len(long) > 3 << s.PLACE_BITS
+    got = s.remove_repeats(frame(spark, rows)).collect()
+    want = brute(rows)
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == Counter((r[0], *want[r[0], r[1]]) for r in rows)
+    assert sum(r.n_removed for r in got) >= 900
+
+
 def test_empty(spark):
     assert s.remove_repeats(frame(spark, [])).collect() == []
     short = s.remove_repeats(frame(spark, [(1, "x" * 99, "en", "s", 1), (2, "x" * 99, "en", "s", 1), (3, None, None, None, None)])).collect()
