@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word: a run of anything but the ASCII blank, tab, line feed, vertical tab, form feed and carriage return.
@@ -22,3 +26,18 @@ def fresh(df: DataFrame, name: str) -> str:
         name += "_"
     return name
 
+
+#: Bytes of text that a worker holds in its own form at once; a single longer text is held alone.
+SLICE_BYTES = 1_000_000
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``most`` bytes of text in a column, a row at least; nothing is copied."""
+    most = SLICE_BYTES if most is None else most
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto, at = np.cumsum(sizes + 16), 0
+    while at < batch.num_rows:
+        before = upto[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, before + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainweave.llm import ann, chat, divergence, golay_simhash, html_main, line_dedup, mixing, packing, records, suffix_dedup
+from chainweave.llm import (
+    ann, chat, divergence, golay_simhash, hard_negatives, html_main, line_dedup, mixing, packing, records, runs, suffix_dedup, tree_bpe,
+)
 from chainweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +84,28 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, vectors.where(F.pmod("vec_id", F.lit(20)) == 0))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # a tenth of the documents repeats a stretch of its words, as the contract has it
+    h, g = F.crc32(F.col("doc_id").cast("string").cast("binary")), F.expr("div(h, 10)")
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    a, p = F.expr("g % n"), F.expr("1 + div(n - g % n, 3 + g % 8)")
+    repeated = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    docs = docs.withColumn("h", h).withColumn("g", g).withColumn("words", F.when(F.expr("h % 10 = 0"), words)).withColumn("n", F.size("words").cast("long"))
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, a)).withColumn("p", F.when(F.col("n") > 0, p))
+    return runs.digests(docs.select("doc_id", F.when(F.col("n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text")))
+
+
+@query("op12_hard_negatives")
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    mined = hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+    return mined.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+@query("op13_tree_bpe")
+def op13_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_bpe.digests(table(spark, sf_dir, "documents"))
