@@ -23,11 +23,14 @@ def reference_regions(results: DataFrame, threshold: float = 98.0) -> DataFrame:
 def call_steps(results: DataFrame, threshold: float = 98.0) -> DataFrame:
     """One row per step of every trusted chain: chr, start, end, step, name and the source region.
 
-    A column ``mut_steps`` (array of start and end) holds the places of all steps; without it those of the first three are
-    taken from the flat columns that a result file has.
+    A column ``mut_steps`` holds the places of all steps, as an array of start and end or as the text of a result file; without it those
+    of the first three are taken from the flat columns.
     """
     called = results.where((F.col("res_max") > threshold) & (F.col("mut_max") != "ref"))
-    if "mut_steps" in results.columns:
+    if "mut_steps" in results.columns and dict(results.dtypes)["mut_steps"] == "string":
+        place = lambda p, k: F.try_to_number(F.split_part(p, F.lit("-"), F.lit(k)), F.lit("9999999999999999")).cast("long")
+        places = F.transform(F.split("mut_steps", "\\+"), lambda p: F.struct(place(p, 1).alias("start"), place(p, 2).alias("end")))
+    elif "mut_steps" in results.columns:
         places = F.col("mut_steps")
     else:
         places = F.array(*[F.struct(F.col(f"mut{n}_start").alias("start"), F.col(f"mut{n}_end").alias("end")) for n in (1, 2, 3)])

@@ -69,6 +69,12 @@ def gridlines(
     return known
 
 
+def unconverged(lines: DataFrame, alns: DataFrame) -> DataFrame:
+    """``region_id`` of regions in which an alignment carries some line to a place that has none."""
+    alns = alns.select(KEY, "tstart", "tend", "qs", "qe").distinct()
+    return _project(lines, alns).join(lines, [KEY, "axis", "pos"], "left_anti").select(KEY).distinct()
+
+
 def blocks(lines: DataFrame) -> DataFrame:
     """Blocks between neighbouring lines: ``(region_id, axis, idx, pos, length)``, idx from 1."""
     w = Window.partitionBy(KEY, "axis").orderBy("pos")

@@ -61,7 +61,7 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_results(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Result rows in their fixed column order; ``NA`` is null."""
+    """Result rows in their fixed column order, with the places of all steps where the file has them; ``NA`` is null."""
     from chainweave.plans.regions import RESULT_COLUMNS
 
     raw = spark.read.option("sep", "\t").option("header", True).option("nullValue", "NA").csv(path)
@@ -69,7 +69,8 @@ def read_results(spark: SparkSession, path: str | list[str]) -> DataFrame:
     def cast_of(c: str) -> str:
         return next((t for t, names in _RESULT_TYPES.items() if c in names), "long")
 
-    return raw.select(*[F.col(c).cast(cast_of(c)).alias(c) for c in RESULT_COLUMNS if c in raw.columns])
+    steps = ["mut_steps"] if "mut_steps" in raw.columns else []
+    return raw.select(*[F.col(c).cast(cast_of(c)).alias(c) for c in RESULT_COLUMNS if c in raw.columns], *steps)
 
 
 def parse_region(text: Column) -> Column:

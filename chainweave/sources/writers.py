@@ -41,11 +41,19 @@ def write_paf(df: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def write_results(df: DataFrame, path: str, mode: str = "error") -> None:
-    """Result rows as one TSV table with a header, in the order of the genome; ``region`` names a row's region."""
+    """Result rows as one TSV table with a header, in the order of the genome; ``region`` names a row's region.
+
+    The flat columns hold three steps; ``mut_steps`` behind them names the places of all (``start-end``, joined by ``+``), so that longer chains
+    survive the file.
+    """
     from chainweave.plans.regions import RESULT_COLUMNS
 
     place = F.concat_ws("-", "seqname", F.col("start").cast("string"), F.col("end").cast("string"))
-    rows = df.select(*RESULT_COLUMNS, place.alias("region")).orderBy("seqname", "start", "end")
+    steps = []
+    if "mut_steps" in df.columns:
+        joined = F.array_join(F.transform("mut_steps", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string"))), "+")
+        steps = [F.when(F.size("mut_steps") > 0, joined).alias("mut_steps")]
+    rows = df.select(*RESULT_COLUMNS, place.alias("region"), *steps).orderBy("seqname", "start", "end")
     rows.write.mode(mode).option("sep", "\t").option("header", True).option("nullValue", "NA").csv(path)
 
 
@@ -58,10 +66,13 @@ def write_vcf(genotype_rows: DataFrame, path: str, mode: str = "error", id_prefi
     records = vcf_records(genotype_rows, id_prefix)
     spark = records.sparkSession
     fields = [c for c in records.columns if c != "calls"]
-    # the header line names all samples: one row, as every record has the same
-    some = records.select("calls.sample").first()
-    columns = "#" + "\t".join([*fields, *(some.sample if some else ())])
-    fixed = [(0, 0, VCF_VERSION)] + [(2, i, line) for i, line in enumerate(VCF_DEFINITIONS)] + [(3, 0, columns)]
+    # the header line names all samples: it is made from one record, as every record has the same, and never leaves Spark
+    named = records.limit(1).select(F.concat_ws("\t", F.lit("#" + "\t".join(fields)), F.array_join("calls.sample", "\t")).alias("value"))
+    bare = spark.createDataFrame([("#" + "\t".join(fields),)], "value string")
+    columns = named.unionByName(bare.join(records.limit(1).select(F.lit(True)), how="left_anti")).select(
+        F.lit(3).alias("block"), F.lit("").alias("chrom"), F.lit(0).cast("long").alias("pos"), "value"
+    )
+    fixed = [(0, 0, VCF_VERSION)] + [(2, i, line) for i, line in enumerate(VCF_DEFINITIONS)]
     head = spark.createDataFrame(fixed, "block int, at int, value string").select(
         "block", F.lit("").alias("chrom"), F.col("at").cast("long").alias("pos"), "value"
     )
@@ -73,6 +84,6 @@ def write_vcf(genotype_rows: DataFrame, path: str, mode: str = "error", id_prefi
         F.lit(4).alias("block"), F.col("CHROM").alias("chrom"), F.col("POS").alias("pos"),
         F.concat_ws("\t", _tab(fields), F.array_join("calls.call", "\t")).alias("value"),
     )
-    head.unionByName(contigs).unionByName(body).orderBy("block", "chrom", "pos", "value").select("value").write.mode(
+    head.unionByName(columns).unionByName(contigs).unionByName(body).orderBy("block", "chrom", "pos", "value").select("value").write.mode(
         mode
     ).text(path)
