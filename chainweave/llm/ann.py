@@ -140,19 +140,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                     yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), *(c.take(of) for c in part.columns)], ["bucket", "query_id", "v"])
 
     index = materialise(entries.select("v", "ids").mapInArrow(indexed, "bucket long, v array<double>, ids array<long>"))
-    asked = materialise(usable(queries, id_col, vec_col).distinct().mapInArrow(probed, "bucket long, query_id long, v array<double>"))
-    # at most tables x 2 x length rows a side
-    filled = index.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("index_blocks"))
-    wanted = asked.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("query_blocks"))
-    blocks = materialise(filled.join(wanted, "bucket"))
-    left = (
-        index.join(F.broadcast(blocks), "bucket").withColumn("i", F.pmod(F.xxhash64("ids"), "index_blocks"))
-        .withColumn("j", F.explode(F.expr("sequence(0, query_blocks - 1)"))).select("bucket", "i", "j", "v", "ids")
-    )
-    right = (
-        asked.join(F.broadcast(blocks), "bucket").withColumn("j", F.pmod(F.xxhash64("query_id"), "query_blocks").cast("int"))
-        .withColumn("i", F.explode(F.expr("sequence(0L, index_blocks - 1L)"))).select("bucket", "i", "j", "v", "query_id")
-    )
+    questions = materialise(usable(queries, id_col, vec_col).distinct())
+    # at most tables x 2 x length rows
+    filled = materialise(index.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("index_blocks")))
 
     def reranked(entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if entries.empty or queries.empty:
@@ -162,12 +152,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         for at in range(0, len(queries), 512):
             q = np.stack(queries["v"].iloc[at : at + 512])
             rough = q @ x.T
-            # more than are wanted, so that rounding in the blocked product decides nothing
-            n = min(len(x), k + 16)
-            top = np.argpartition(-rough, n - 1, axis=1)[:, :n]
-            exact = (q[:, None, :] * x[top]).sum(2)
-            for own, places, scores in zip(queries["query_id"].iloc[at : at + 512], top.tolist(), exact.tolist()):
-                found = sorted((-s, int(i)) for s, p in zip(scores, places) for i in ids[p] if i != own)[:k]
+            n = min(len(x), k + 1)
+            edge = np.partition(rough, len(x) - n, axis=1)[:, len(x) - n]
+            # all that rounding in the blocked product could have put below the last wanted one, ties included
+            room = 1e-12 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
+            for own, row, least, one in zip(queries["query_id"].iloc[at : at + 512], rough, edge - room, q):
+                places = np.flatnonzero(row >= least)
+                scores = (one * x[places]).sum(1)
+                found = sorted((-s, int(i)) for s, p in zip(scores.tolist(), places.tolist()) for i in ids[p] if i != own)[:k]
                 out_ids.append([i for _, i in found])
                 out_scores.append([-s for s, _ in found])
         return pd.DataFrame({"query_id": queries["query_id"].to_list(), "ids": out_ids, "scores": out_scores})
@@ -177,7 +169,36 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         best = sorted((-s, i) for i, s in found.items())[:k]
         return pd.DataFrame({"query_id": rows["query_id"].iloc[0], "rank": range(1, len(best) + 1), "vec_id": [i for _, i in best], "score": [-s for s, _ in best]})
 
-    lists = left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket", "i", "j")).applyInPandas(
-        reranked, "query_id long, ids array<long>, scores array<double>"
+    def ranked(asked: DataFrame) -> DataFrame:
+        """What the asked buckets hold, ranked exactly for each query."""
+        wanted = asked.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("query_blocks"))
+        blocks = materialise(filled.join(wanted, "bucket"))
+        left = (
+            index.join(F.broadcast(blocks), "bucket").withColumn("i", F.pmod(F.xxhash64("ids"), "index_blocks"))
+            .withColumn("j", F.explode(F.expr("sequence(0, query_blocks - 1)"))).select("bucket", "i", "j", "v", "ids")
+        )
+        right = (
+            asked.join(F.broadcast(blocks), "bucket").withColumn("j", F.pmod(F.xxhash64("query_id"), "query_blocks").cast("int"))
+            .withColumn("i", F.explode(F.expr("sequence(0L, index_blocks - 1L)"))).select("bucket", "i", "j", "v", "query_id")
+        )
+        lists = left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket", "i", "j")).applyInPandas(
+            reranked, "query_id long, ids array<long>, scores array<double>"
+        )
+        return lists.groupBy("query_id").applyInPandas(merged, "query_id long, rank int, vec_id long, score double")
+
+    first = materialise(ranked(materialise(questions.mapInArrow(probed, "bucket long, query_id long, v array<double>"))))
+    # a query whose buckets held too few looks into every bucket of one table, which holds all vectors of its length
+    size = F.size("v")
+    there = entries.groupBy(size.alias("d")).agg(F.sum(F.size("ids")).alias("there"))
+    got = first.groupBy("query_id").agg(F.count("*").alias("got"))
+    short = (
+        questions.withColumn("d", size).join(got, F.col("vec_id") == F.col("query_id"), "left").join(there, "d")
+        .where(F.coalesce("got", F.lit(0)) < F.least(F.lit(k), F.col("there") - 1))
+    )
+    table_of = filled.where(F.shiftright("bucket", 48) == 0).select("bucket", F.shiftright("bucket", 24).alias("units"))
+    everywhere = materialise(
+        short.join(table_of, F.col("units") == F.col("d") + 1).select("bucket", F.col("vec_id").alias("query_id"), "v")
     )
-    return lists.groupBy("query_id").applyInPandas(merged, "query_id long, rank int, vec_id long, score double")
+    if everywhere.isEmpty():
+        return first
+    return first.join(everywhere.select("query_id").distinct(), "query_id", "left_anti").unionByName(ranked(everywhere))

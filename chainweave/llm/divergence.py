@@ -10,6 +10,7 @@ far from all others says nothing, and the base rules alone decide.
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chainweave.llm.common import slices
 from chainweave.session import materialise
 
 CLASSES = ("lower", "upper", "other letter", "digit", "blank", "line end", "stop", "punctuation", "symbol")
@@ -32,7 +34,9 @@ WORD_LIMIT, WORD_WORDS = 0.36, 100
 #: Words of a language in the corpus from which it is a reference.
 REFERENCE_WORDS = 10_000
 MIN_WORDS = 50
-#: Most language labels: labels are a closed list, and a column that is none must not reach the driver.
+#: Distinct words that a task counts before it hands the counts on.
+COUNTED = 200_000
+#: Most languages with a reference: labels are a closed list, and a column that is none must not reach the driver.
 MOST_LANGUAGES = 10_000
 
 
@@ -108,50 +112,61 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
     Tasks count before the shuffle. The driver gets the class counts and ``COMMON`` words of each language.
     """
 
+    def counts_of(words: dict[str | None, Counter], chars: dict[str | None, np.ndarray]) -> pa.RecordBatch:
+        langs, kinds, keys, counts = [], [], [], []
+        for lang, found in words.items():
+            langs += [lang] * (len(found) + len(CLASSES))
+            kinds += [1] * len(found) + [0] * len(CLASSES)
+            keys += [*found, *(str(k).encode() for k in range(len(CLASSES)))]
+            counts += [*found.values(), *chars[lang].tolist()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(langs, pa.string()), pa.array(kinds, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.int64())],
+            ["lang", "kind", "key", "n"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[str | None, Counter] = {}
+        chars: dict[str | None, np.ndarray] = {}
         for batch in batches:
-            words: dict[str | None, Counter] = {}
-            chars: dict[str | None, np.ndarray] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py()
-                if text:
-                    words.setdefault(lang, Counter()).update(text.encode().lower().split())
-                    chars[lang] = chars.get(lang, 0) + char_histogram(text)
-            langs, kinds, keys, counts = [], [], [], []
-            for lang, found in words.items():
-                langs += [lang] * (len(found) + len(CLASSES))
-                kinds += [1] * len(found) + [0] * len(CLASSES)
-                keys += [*found, *(str(k).encode() for k in range(len(CLASSES)))]
-                counts += [*found.values(), *chars[lang].tolist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(kinds, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.int64())],
-                ["lang", "kind", "key", "n"],
-            )
+            for some in slices(batch, 1):
+                for lang, text in zip(some.column(0).to_pylist(), some.column(1)):
+                    text = text.as_py()
+                    if text:
+                        words.setdefault(lang, Counter()).update(text.encode().lower().split())
+                        chars[lang] = chars.get(lang, 0) + char_histogram(text)
+                if sum(map(len, words.values())) > COUNTED:
+                    yield counts_of(words, chars)
+                    words, chars = {}, {}
+        yield counts_of(words, chars)
 
     counted = materialise(
         docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
         .mapInArrow(run, "lang string, kind int, key binary, n long")
         .groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     )
+    # only languages with enough words go on, and they must be few enough for the driver
+    total = counted.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("n")).where((F.col("n") >= REFERENCE_WORDS) & F.col("lang").isNotNull())
+    total = materialise(total)
+    if total.count() > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages: {lang_col} is no language column")
     order = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")
     # the limit is applied in each task before the shuffle
-    top = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= COMMON).select("lang", "kind", "key", "n")
-    total = counted.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit(2).alias("kind"), F.lit(b"").alias("key"), "n")
-    got = top.union(total).take((MOST_LANGUAGES + 1) * (COMMON + len(CLASSES) + 1))
+    fit = counted.join(total.select("lang"), "lang", "left_semi")
+    top = fit.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= COMMON).select("lang", "kind", "key", "n")
+    got = top.union(total.select("lang", F.lit(2).alias("kind"), F.lit(b"").alias("key"), "n")).collect()
     out: dict = {}
-    for lang in {r.lang for r in got}:
-        own = [r for r in got if r.lang == lang]
+    rows_of: dict = {}
+    for r in got:
+        rows_of.setdefault(r.lang, []).append(r)
+    for lang, own in rows_of.items():
         chars = np.zeros(len(CLASSES))
         for r in own:
             if r.kind == 0:
                 chars[int(r.key)] = r.n
         words = sorted((-r.n, bytes(r.key)) for r in own if r.kind == 1)
         all_words = sum(r.n for r in own if r.kind == 2)
-        if all_words >= REFERENCE_WORDS and lang is not None:
-            counts = [-n for n, _ in words]
-            out[lang] = (chars, [w for _, w in words], np.array([*counts, all_words - sum(counts)], float))
-    if len(out) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages: {lang_col} is no language column")
+        counts = [-n for n, _ in words]
+        out[lang] = (chars, [w for _, w in words], np.array([*counts, all_words - sum(counts)], float))
     return out
 
 
@@ -189,7 +204,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     refs = references(docs, lang_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(slices(x, 0) for x in batches):
             rows = []
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
                 text = text.as_py() or ""

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chainweave.llm import tokens
-from chainweave.llm.records import sliced
+from chainweave.llm.common import slices
 from chainweave.session import materialise
 
 CAPACITY = 2048
@@ -73,9 +73,9 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
 
         uid, encoder = TaskContext.get().partitionId() << 40, None
         for batch in batches:
-            encoder = encoder or tokens.Encoder(tokenizer, end_id)
+            encoder = encoder or tokens.worker_encoder(tokenizer, end_id)
             rows = []
-            for some in sliced(batch):
+            for some in slices(batch, 1):
                 offsets, ids = encoder.encode(some.column(1))
                 for doc_id, a, b in zip(some.column(0).to_pylist(), offsets.tolist(), offsets[1:].tolist()):
                     for k, (at, n) in enumerate(cuts(b - a, capacity)):

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chainweave.llm import tokens
+from chainweave.llm.common import slices
 from chainweave.session import materialise, shared_folder
 
 #: Fixed value of the masked checksum.
@@ -110,10 +111,10 @@ def write(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", te
         for batch in batches:
             if not batch.num_rows:
                 continue
-            encoder = encoder or tokens.Encoder(tokenizer, end_id)
+            encoder = encoder or tokens.worker_encoder(tokenizer, end_id)
             out = out or system.open_output_stream(own)
             rows = []
-            for some in sliced(batch):
+            for some in slices(batch, 1):
                 offsets, ids = encoder.encode(some.column(1))
                 for doc_id, a, b in zip(some.column(0).to_pylist(), offsets, offsets[1:]):
                     out.write(data := frame(payload(doc_id, ids[a:b])))
@@ -130,12 +131,6 @@ def write(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", te
     return folder, materialise(dealt.mapInArrow(run, INDEX))
 
 
-def sliced(batch: pa.RecordBatch, rows: int = 2500) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch, so that the ids of few documents are in memory at once."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """Every record of every shard, checked: its document, its ids' count and checksum, and the ids before it in its shard."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.rec").load(folder).select("path", "content")

@@ -8,6 +8,7 @@ library whole.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import os
 from array import array
@@ -23,9 +24,11 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 UNUSUAL = r"[^\x09\x0A\x20-\x7E\x{A1}-\x{AC}\x{AE}-\x{17F}\x{2010}-\x{2015}\x{2018}-\x{201F}\x{2026}\x{20AC}]"
 #: Blanks that do not stand alone between two words.
 LOOSE = r" [ \t\n]|[\t\n ] | $|^ "
-#: Entries of a worker's memory of pieces; it starts anew when full, which changes no result.
+#: Entries and bytes of a worker's memory of pieces, and of stretches between blanks; each starts anew when full, which changes no result.
 MEMORY = 600_000
-CHARS_AT_ONCE = 8_000_000
+MEMORY_BYTES = 48_000_000
+#: Bytes of text that are cut up at once.
+CHARS_AT_ONCE = 1_000_000
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
@@ -51,6 +54,12 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+@functools.lru_cache(maxsize=2)
+def worker_encoder(name: str = DEFAULT_TOKENIZER, end_id: int | None = 0) -> Encoder:
+    """The encoder of this worker process; what it remembers serves the tasks that follow."""
+    return Encoder(name, end_id)
+
+
 class Encoder:
     """Encodes without special tokens and appends ``end_id`` to every text; a null text is an empty one."""
 
@@ -76,6 +85,7 @@ class Encoder:
         self.end = [] if end_id is None else [end_id]
         self.pieces: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        self.piece_bytes = self.chunk_bytes = 0
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids + self.end, np.uint32)
@@ -119,9 +129,11 @@ class Encoder:
     def _learn(self, found: list[str]) -> None:
         """Make sure that each of the pieces is in memory."""
         new = [x for x in set(found) if x not in self.pieces]
-        if len(self.pieces) + len(new) > MEMORY:
-            self.pieces = {}
+        if len(self.pieces) + len(new) > MEMORY or self.piece_bytes > MEMORY_BYTES:
+            self.pieces, self.piece_bytes = {}, 0
             new = list(set(found))
+        # at most an id of four bytes for each letter, and what the entry itself takes
+        self.piece_bytes += sum(5 * len(x) + 160 for x in new)
         bpe, letters = self.tokenizer.model.tokenize, self.letters
         for x in new:
             shown = (x if x.isascii() else x.encode().decode("latin-1")).translate(letters)
@@ -141,6 +153,9 @@ class Encoder:
         wanted = [" " + w for w in words] + [words[i] for i in heads]
         known = list(map(self.chunks.get, wanted))
         missing = [i for i, x in enumerate(known) if x is None]
+        if self.chunk_bytes > MEMORY_BYTES:
+            self.chunks, self.chunk_bytes = {}, 0
+        self.chunk_bytes += sum(5 * len(wanted[i]) + 160 for i in missing)
         for at in range(0, len(missing), 100_000):
             some = missing[at : at + 100_000]
             cut = [self.find(wanted[i]) for i in some]

@@ -14,6 +14,7 @@ long texts are encoded whole. Columns named in ``keep`` are handed on, others ar
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 from collections.abc import Iterator
@@ -61,6 +62,12 @@ class PairTree:
             node[at] = key = best
 
 
+@functools.lru_cache(maxsize=2)
+def worker_coder(name: str = DEFAULT_TOKENIZER) -> Coder:
+    """The coder of this worker process; what it remembers serves the tasks that follow."""
+    return Coder(name)
+
+
 class Coder:
     """Encodes without special tokens added and decodes as the tokenizer's file says."""
 
@@ -247,7 +254,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(tokenizer)
+        coder = worker_coder(tokenizer)
         for batch in batches:
             for some in slices(batch, 1):
                 found = coder.encode_all(_texts(some.column(1)))
@@ -263,7 +270,7 @@ def decode(encoded: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     """``doc_id, decoded`` of rows with ``doc_id, ids``; a null array is an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(tokenizer)
+        coder = worker_coder(tokenizer)
         for batch in batches:
             texts = [coder.decode(np.array(x.as_py() or [], np.int64)).decode() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "decoded"])
@@ -276,7 +283,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tok
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(tokenizer)
+        coder = worker_coder(tokenizer)
         for batch in batches:
             for some in slices(batch, 1):
                 counts, ids_sha, text_sha = [], [], []

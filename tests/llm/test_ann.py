@@ -52,3 +52,13 @@ def test_empty(spark):
     assert ann.nearest(df, df).collect() == []
     one = spark.createDataFrame([(0, [1.0, 0.0], 1, 1)], SCHEMA)
     assert ann.nearest(one, one).collect() == []
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    """Three hundred unlike vectors with one inner product: the twenty smallest ids are the nearest."""
+    r = np.random.default_rng(3)
+    rows = [(0, [8.0] + [0.0] * 15, 0, 0)] + [(i, [1.0, *r.integers(-4, 5, 15).astype(float).tolist()], 0, 0) for i in range(1, 301)]
+    got = ann.nearest(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(rows[:1], SCHEMA), target=1.0, tables=8)
+    found = [x.vec_id for x in got.orderBy("rank").collect()]
+    everywhere = [x.vec_id for x in ann.nearest(spark.createDataFrame(rows[:25], SCHEMA), spark.createDataFrame(rows[:1], SCHEMA)).orderBy("rank").collect()]
+    assert found == sorted(found) and len(found) == 20 and everywhere == list(range(1, 21))

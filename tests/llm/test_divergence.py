@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from fixtures import SCHEMA, documents, frame, prose
 
 from chainweave.llm import divergence as d
@@ -67,3 +68,26 @@ def test_a_language_without_reference_rejects_nothing(spark):
     got = {r.doc_id: r for r in d.judged(frame(spark, rows + rare + labelled)).collect()}
     assert all(got[r[0]].kept and got[r[0]].word_distance > d.WORD_LIMIT for r in rare)
     assert not any(got[r[0]].kept for r in labelled)
+
+
+def test_many_labels_take_no_language_away(spark, monkeypatch):
+    monkeypatch.setattr(d, "MOST_LANGUAGES", 3)
+    rows = [(i, prose(i, 300), "en", "s", 1) for i in range(60)] + [(1000 + i, "few words here", f"x{i}", "s", 1) for i in range(500)]
+    refs = d.references(frame(spark, rows))
+    assert list(refs) == ["en"] and refs["en"][2].sum() == 60 * 300
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(d, "MOST_LANGUAGES", 2)
+    monkeypatch.setattr(d, "REFERENCE_WORDS", 100)
+    rows = [(i, prose(i, 300), f"x{i % 3}", "s", 1) for i in range(9)]
+    with pytest.raises(ValueError):
+        d.references(frame(spark, rows))
+
+
+def test_counts_are_handed_on_in_parts(spark, monkeypatch):
+    rows = [(i, prose(i, 300), "en", "s", 1) for i in range(60)]
+    whole = d.references(frame(spark, rows))["en"]
+    monkeypatch.setattr(d, "COUNTED", 50)
+    parts = d.references(frame(spark, rows))["en"]
+    assert whole[1] == parts[1] and (whole[0] == parts[0]).all() and (whole[2] == parts[2]).all()
