@@ -35,7 +35,7 @@ WORD_LIMIT, WORD_WORDS = 0.36, 100
 REFERENCE_WORDS = 10_000
 MIN_WORDS = 50
 #: Distinct words that a task counts before it hands the counts on.
-COUNTED = 200_000
+COUNTED = 60_000
 #: Most languages with a reference: labels are a closed list, and a column that is none must not reach the driver.
 MOST_LANGUAGES = 10_000
 
@@ -206,7 +206,8 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in itertools.chain.from_iterable(slices(x, 0) for x in batches):
             rows = []
-            for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
+            langs = batch.column(sent.index(lang_col)).to_pylist()
+            for text, lang in zip(batch.column(0), langs):
                 text = text.as_py() or ""
                 raw = text.encode()
                 words = raw.split()
@@ -217,9 +218,13 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
             if rows:
                 types = (*[pa.int64()] * 5, pa.bool_(), pa.float64(), pa.float64(), pa.bool_())
                 columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), types)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[2:], *columns], [f"c{i}" for i in range(len(batch.columns) - 2 + 9)])
+                kept = [batch.column(at) for at in shown]
+                yield pa.RecordBatch.from_arrays([*kept, *columns], [f"c{i}" for i in range(len(kept) + len(columns))])
 
-    source = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate((text_col, lang_col, id_col, *keep))))
+    # a column that is both judged and kept crosses to the workers once
+    sent = list(dict.fromkeys((text_col, lang_col, id_col, *keep)))
+    shown = [sent.index(c) for c in (id_col, *keep)]
+    source = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(sent)))
     names = [id_col, *keep, *(x.strip().split(" ")[0] for x in RULES.split(","))]
     kinds = [docs.schema[c].dataType.simpleString() for c in (id_col, *keep)] + [x.strip().split(" ")[1] for x in RULES.split(",")]
     schema = ", ".join(f"c{i} {k}" for i, k in enumerate(kinds))
