@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from chainweave.catalog._registry import query
@@ -98,17 +100,104 @@ def liftover_extrapolated(spark, sf_dir):
     return lo.lift_by_extrapolation(regions(spark, sf_dir), lifted(spark, sf_dir))
 
 
-@query("liftover_regions", f"""with {LIFTED}, {WINNER}, {RANGE}, {EXTRA},
-  found as (select region_id, contig, lift_start::double as s, lift_end::double as e, 'range' as method from ranged
-    where accepted union all select region_id, contig, lift_start, lift_end, 'extrapolated' from extra
-    where region_id not in (select region_id from ranged where accepted)),
-  wide as (select *, case when e - s < 50000 then 0.25::double when e - s < 200000 then 0.1::double else 0.05::double end * (e - s) as d
-    from found),
-  lengths as (select tname as contig, max(tend) as length from aln group by tname),
-  placed as (select region_id, w.contig, method, cast(trunc(greatest(0.0, s - d)) as bigint) as lift_start,
-    cast(trunc(least(length - 1.0, e + d - 1)) as bigint) as lift_end from wide w join lengths l on w.contig = l.contig)
-  select r.region_id, contig, method, lift_start, lift_end from regions r left join placed p on r.region_id = p.region_id""")
+WIDER = "case when e - s < 50000 then 0.25::double when e - s < 200000 then 0.1::double else 0.05::double end * (e - s)"
+CONTIGS = "lengths as (select tname as contig, max(tend) as length from aln group by tname)"
+
+
+def _placed(accepted: str, widen: str, most: str, joined: str) -> str:
+    """The found ranges, widened and clamped."""
+    return f"""found as (select region_id, contig, lift_start::double as s, lift_end::double as e, 'range' as method from ranged
+    where {accepted} union all select region_id, contig, lift_start, lift_end, 'extrapolated' from extra
+    where region_id not in (select region_id from ranged where {accepted})),
+  wide as (select *, {widen} as d from found),
+  placed as (select w.region_id, w.contig, method, cast(trunc(greatest(0.0, s - d)) as bigint) as lift_start,
+    cast(trunc(least({most}, e + d - 1)) as bigint) as lift_end from wide w {joined})"""
+
+
+ON_CONTIG = "join lengths l on w.contig = l.contig"
+ON_SOURCE = "join regions g on g.region_id = w.region_id join (select qname, max(qend) as length from aln group by qname) l on l.qname = g.seqname"
+ROWS = "select r.region_id, contig, method, lift_start, lift_end from regions r left join placed p on r.region_id = p.region_id"
+REFINED = f"{CONTIGS}, {_placed('accepted', WIDER, 'length - 1.0', ON_CONTIG)}"
+
+
+@query("liftover_regions", f"with {LIFTED}, {WINNER}, {RANGE}, {EXTRA}, {REFINED} {ROWS}")
 def liftover_regions(spark, sf_dir):
     alns = alignments(spark, sf_dir)
     lengths = alns.groupBy(F.col("tname").alias("contig")).agg(F.max("tend").alias("length"))
     return lo.lift_regions(regions(spark, sf_dir), alns, lengths)
+
+
+def _with_source_lengths(alns):
+    return alns.join(alns.groupBy("qname").agg(F.max("qend").alias("qlen")), "qname")
+
+
+@query("liftover_plain", f"with {LIFTED}, {WINNER}, {RANGE}, {EXTRA}, {_placed('true', '0.0', 'length + s - 1', ON_SOURCE)} {ROWS}")
+def liftover_plain(spark, sf_dir):
+    """Every range counts and none is widened."""
+    return lo.lift_regions(regions(spark, sf_dir), _with_source_lengths(alignments(spark, sf_dir)), mode="plain")
+
+
+@query("liftover_by_median", f"with {LIFTED}, {WINNER}, {RANGE}, {EXTRA}, {_placed('false', '0.0', 'length + s - 1', ON_SOURCE)} {ROWS}")
+def liftover_by_median(spark, sf_dir):
+    return lo.lift_regions(regions(spark, sf_dir), _with_source_lengths(alignments(spark, sf_dir)), mode="extrapolation")
+
+
+# a library holds the alignments with exchanged roles, and names that tell what was cut out
+_LIBRARY = {
+    "qname": "tname", "qstart": "tstart - cut", "qend": "tend - cut", "tname": "qname", "tstart": "qstart", "tend": "qend", "strand": "strand",
+    "nmatch": "nmatch",
+}
+
+
+@query("liftover_library", f"with {LIFTED}, {WINNER}, {RANGE}, {EXTRA}, {CONTIGS}, {_placed('true', '0.0', 'length::double', ON_CONTIG)} {ROWS}")
+def liftover_library(spark, sf_dir):
+    """Rows of a library are put right (extracts moved back, roles exchanged) and lift every region."""
+    cut = alignments(spark, sf_dir).withColumn("cut", F.floor(F.col("tstart") / 2))
+    stored = cut.select(
+        F.expr("concat(tname, ':', cut, '-', cut + 1000, '_x')").alias("qname"),
+        *[F.expr(e).alias(n) for n, e in _LIBRARY.items() if n != "qname"],
+    )
+    return lo.lift_regions(regions(spark, sf_dir), lo.swap_roles(lo.shift_extracted(stored, "qname", "qstart", "qend")), mode="library")
+
+
+# a second look: each line item aligns a stretch of its order's region to the extract
+_SECOND = {
+    "region_id": "l_orderkey",
+    "qstart": "l_orderkey * 1000 + 5000 + (l_linenumber - 1) * 14000",
+    "qend": "l_orderkey * 1000 + 5000 + (l_linenumber - 1) * 14000 + cast(l_quantity as bigint) * 600 + 3000",
+    "strand": "case when l_returnflag = 'R' then '-' else '+' end",
+    "tstart": "l_linenumber * 9000 - l_partkey % 40 * 500",
+    "tend": "l_linenumber * 9000 - l_partkey % 40 * 500 + cast(l_quantity as bigint) * 600 + 3000",
+    "nmatch": "cast(l_quantity as bigint) * 600 - cast(round(l_discount * 100) as bigint)",
+}
+
+
+def _again(text: str) -> str:
+    """The same rules over the second look's tables."""
+    names = "aln regions probes binned ranked lifted per_contig winner onw m1 m2 keep agg ranged turns votes voted extra found wide lengths placed".split()
+    return re.sub(rf"\b({'|'.join(names)})\b", r"\1_2", text)
+
+
+_PROBED = LIFTED[LIFTED.index("probes as"):]
+
+
+@query("liftover_second_pass", f"""with {LIFTED}, {WINNER}, {RANGE}, {EXTRA}, {REFINED}, {_sql_view("second", _SECOND, "lineitem")},
+  firsts as (select r.region_id, contig, method, lift_start, lift_end from regions r left join placed p on r.region_id = p.region_id),
+  cuts as (select region_id, contig, greatest(0, cast(trunc(lift_start - (lift_end - lift_start) * 0.02::double) as bigint)) as a,
+    cast(trunc(lift_end + (lift_end - lift_start) * 0.02::double) as bigint) as b from firsts where contig is not null),
+  inside as (select s.*, contig, a, greatest(tstart, 0) as lo, least(tend, b - a) as hi from second s join cuts c on c.region_id = s.region_id),
+  aln_2 as (select concat('r', region_id) as qname, case when strand = '-' then qstart + tend - hi else qstart + lo - tstart end as qstart,
+    case when strand = '-' then qstart + tend - lo else qstart + hi - tstart end as qend, strand, concat('r', region_id, '|', contig) as tname,
+    a + lo as tstart, a + hi as tend, nmatch from inside where lo <= hi),
+  regions_2 as (select r.region_id, concat('r', r.region_id) as seqname, "start", "end" from regions r join cuts c on c.region_id = r.region_id),
+  {_again(f"{_PROBED}, {WINNER}, {RANGE}, {EXTRA}, {CONTIGS}, {_placed('true', '0.0', 'length::double', ON_CONTIG)}")}
+  select f.region_id, coalesce(split_part(p.contig, '|', 2), f.contig) as contig, coalesce(p.method, f.method) as method,
+    coalesce(p.lift_start, f.lift_start) as lift_start, coalesce(p.lift_end, f.lift_end) as lift_end,
+    case when p.contig is not null then 2 when f.contig is not null then 1 else 0 end as passes
+  from firsts f left join placed_2 p on p.region_id = f.region_id""")
+def liftover_second_pass(spark, sf_dir):
+    alns = alignments(spark, sf_dir)
+    lengths = alns.groupBy(F.col("tname").alias("contig")).agg(F.max("tend").alias("length"))
+    first = lo.lift_regions(regions(spark, sf_dir), alns, lengths)
+    second = table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} as {n}" for n, e in _SECOND.items()])
+    return lo.lift_twice(regions(spark, sf_dir), first, second)

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainweave.operators.rangejoin import overlap_join
+from chainweave.session import materialise
 
 N_PROBES = 100
+#: Bases of a tile, doublings of a run of tiles, and pieces from which a tile is cut finer.
+TILE = 1 << 20
+TILE_LEVELS = 24
+MOST_PIECES = 200_000
+#: What an alignment is known by, in the order in which ties are decided.
+BEST = ["neg", "qstart", "qend", "tname", "tstart", "tend", "strand"]
 
 # fixed thresholds of the acceptance test
 MIN_MAPPED_X, MIN_MAPPED_Y, MAX_MAPPED_Y = 0.8, 1 / 3, 3.0
@@ -34,34 +47,129 @@ def lifted_position(pos: Column) -> Column:
     return F.when(F.col("strand") == "-", F.col("tend") - into).otherwise(F.col("tstart") + into)
 
 
+def _dyadic(a: Column, b: Column, levels: int) -> Column:
+    """The half-open range from a to b as the fewest aligned runs: an array of (level, node), a run being ``2**level`` long."""
+
+    def at(level: Column) -> Column:
+        size = F.pow(F.lit(2.0), level).cast("long")
+        lo, hi = F.floor((a + size - 1) / size), F.floor(b / size)
+        left = F.when((lo < hi) & (lo % 2 == 1), F.struct(level.alias("level"), lo.alias("node")))
+        right = F.when((hi % 2 == 1) & (lo + lo % 2 < hi), F.struct(level.alias("level"), (hi - 1).alias("node")))
+        return F.array(left, right)
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at)))
+
+
+def _best_in_tiles(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For rows of pieces and points, sorted by tiles of that size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a partition, tile by tile: pieces of alignments and points. Each point once, with the best piece that holds it."""
+        held: list[pa.Table] = []
+
+        def out() -> pa.RecordBatch | None:
+            rows = pa.concat_tables(held)
+            tile = np.cumsum(np.append(0, (pc.not_equal(rows["seqname"][1:], rows["seqname"][:-1]).to_numpy() | (np.diff(rows["tile"].to_numpy()) != 0)).astype(np.int64)))
+            lo, hi = rows["lo"].to_numpy() + tile * 2 * size, rows["hi"].to_numpy() + tile * 2 * size
+            is_point = rows["neg"].is_null().to_numpy()
+            points = np.flatnonzero(is_point)
+            points = points[np.argsort(lo[points], kind="stable")]
+            pieces = rows.filter(pa.array(~is_point))
+            # the worst first, so that better ones are painted over it
+            order = pc.sort_indices(pieces, [(c, "descending") for c in BEST]).to_numpy()
+            first, last = (np.searchsorted(lo[points], x[~is_point], "left") for x in (lo, hi))
+            owner = np.full(len(points), -1)
+            for k in order[first[order] < last[order]].tolist():
+                owner[first[k] : last[k]] = k
+            hit = owner >= 0
+            where = rows.select(["seqname", "tile", "lo"]).take(pa.array(points[hit]))
+            found = pieces.select(BEST).take(pa.array(owner[hit]))
+            pos = pc.add(pc.multiply(where["tile"], size), where["lo"])
+            done = pa.table([where["seqname"], pos, *found.columns], ["seqname", "pos", *BEST]).combine_chunks()
+            return done.to_batches()[0] if done.num_rows else None
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            last = rows.slice(rows.num_rows - 1)
+            same = pc.and_(pc.equal(rows["seqname"], last["seqname"][0]), pc.equal(rows["tile"], last["tile"][0])).to_numpy()
+            cut = int(np.argmax(same))  # the last tile may go on in the next batch
+            if cut:
+                held.append(rows.slice(0, cut))
+                if (done := out()) is not None:
+                    yield done
+                held = []
+            elif held and (held[-1]["seqname"][-1] != last["seqname"][0] or held[-1]["tile"][-1] != last["tile"][0]):
+                if (done := out()) is not None:
+                    yield done
+                held = []
+            held.append(rows.slice(cut))
+        if held and (done := out()) is not None:
+            yield done
+
+    return run
+
+
+def best_alignment_at(points: DataFrame, paf: DataFrame) -> DataFrame:
+    """Of the alignments that hold a point the one with most matches: the upper envelope of the alignments, looked up at the points.
+
+    ``points``: seqname and pos; each place comes back once, with the alignment's columns; those that none holds go. Of equal matches the lowest
+    alignment wins. A contig is cut into tiles. An alignment lies in two at most with an end; what it covers of whole tiles is a few aligned
+    runs of them, of which a tile needs the best. A tile with very many pieces is cut finer, so that it keeps the best of at most as many aligned runs
+    as it has places; so no task holds more than a tile's places and runs, and no row is made for a pair of point and alignment.
+    """
+    at = points.select("seqname", F.col("pos").cast("long").alias("pos")).distinct()
+    at = at.select("seqname", F.floor(F.col("pos") / TILE).alias("tile"), "pos")
+    tiles = at.select("seqname", "tile").distinct()
+    best = F.struct((-F.col("nmatch")).alias("neg"), *(F.col(c) for c in BEST[1:]))
+    alns = paf.where("qend >= qstart").select(F.col("qname").alias("seqname"), F.col("qstart").alias("_s"), (F.col("qend") + 1).alias("_e"), best.alias("b"))
+    alns = alns.withColumns({"t0": F.floor(F.col("_s") / TILE), "t1": F.floor((F.col("_e") - 1) / TILE)})
+
+    def piece(tile: Column, lo: Column, hi: Column) -> Column:
+        return F.struct(tile.alias("tile"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
+
+    zero, full = F.lit(0), F.lit(TILE)
+    lo, hi = F.col("_s") - F.col("t0") * TILE, F.col("_e") - F.col("t1") * TILE
+    ends = F.when(F.col("t0") == F.col("t1"), F.array(piece(F.col("t0"), lo, hi))).otherwise(
+        F.array(piece(F.col("t0"), lo, full), piece(F.col("t1"), zero, hi))
+    )
+    pieces = alns.select("seqname", "b", F.inline(ends)).join(tiles, ["seqname", "tile"], "left_semi")
+    # whole tiles: the best of each run, then of the runs that a tile lies in
+    wide = alns.where("t1 > t0 + 1").select("seqname", "b", F.inline(_dyadic(F.col("t0") + 1, F.col("t1"), TILE_LEVELS)))
+    runs = wide.groupBy("seqname", "level", "node").agg(F.min("b").alias("b"))
+    above = tiles.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(TILE_LEVELS)))).withColumn("node", F.expr("shiftright(tile, level)"))
+    over = above.join(runs, ["seqname", "level", "node"]).groupBy("seqname", "tile").agg(F.min("b").alias("b"))
+    pieces = pieces.select("seqname", "tile", "lo", "hi", "b").unionByName(
+        over.select("seqname", "tile", zero.cast("long").alias("lo"), full.cast("long").alias("hi"), "b")
+    )
+    crowded = pieces.groupBy("seqname", "tile").count().where(F.col("count") > MOST_PIECES).select("seqname", "tile", F.lit(True).alias("crowded"))
+    size = lambda r: F.pow(F.lit(2.0), r["level"]).cast("long")
+    runs_of = F.transform(
+        _dyadic(F.col("lo"), F.col("hi"), TILE.bit_length()),
+        lambda r: F.struct((r["node"] * size(r)).alias("lo"), ((r["node"] + 1) * size(r)).alias("hi")),
+    )
+    fine = F.when(F.col("crowded"), runs_of).otherwise(F.array(F.struct("lo", "hi")))
+    kept = (
+        pieces.join(crowded, ["seqname", "tile"], "left").select("seqname", "tile", "b", F.inline(fine))
+        .groupBy("seqname", "tile", "lo", "hi").agg(F.min("b").alias("b")).select("seqname", "tile", "lo", "hi", "b.*")
+    )
+    place = F.col("pos") - F.col("tile") * TILE
+    asked = at.select("seqname", "tile", place.alias("lo"), place.alias("hi"))
+    rows = kept.unionByName(asked, allowMissingColumns=True).repartition("seqname", "tile").sortWithinPartitions("seqname", "tile")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields if f.name in BEST)
+    return rows.mapInArrow(_best_in_tiles(TILE), f"seqname string, pos long, {fields}")
+
+
 def lift_probes(regions: DataFrame, paf: DataFrame, n: int = N_PROBES) -> DataFrame:
     """Carry each probe over the alignment with most matches that holds it; probes without one go.
 
-    ``regions``: region_id, seqname, start, end. Of equal matches the lowest alignment wins. Whole regions are
-    joined to the alignments and only the probes inside a pair are spelled out after it.
+    ``regions``: region_id, seqname, start, end. Of equal matches the lowest alignment wins. Each place is looked up once.
     """
-    alns = paf.select(
-        F.col("qname").alias("seqname"), "qstart", "qend", "strand", "tname", "tstart", "tend", "nmatch",
-        F.col("qstart").alias("_s"), (F.col("qend") + 1).alias("_e"),
-    )
-    whole = regions.select("region_id", "seqname", "start", "end", (F.col("end") + 1).alias("_re"))
-    step = F.greatest((F.col("end") - F.col("start")) / F.lit(float(n - 1)), F.lit(1e-9))
-    first = F.greatest(F.lit(1.0), F.floor((F.col("qstart") - F.col("start")) / step)).cast("int")
-    last = F.least(F.lit(float(n)), F.ceil((F.col("qend") - F.col("start")) / step) + 2).cast("int")
-    hits = (
-        overlap_join(whole, alns, ["seqname"], ("start", "_re"), ("_s", "_e"))
-        .withColumn("probe_id", F.explode(F.when(first <= last, F.sequence(first, last))))
-        .withColumn("pos", probe_position(F.col("probe_id"), n))
-        .where("pos between qstart and qend")
-    )
-    best = F.struct(
-        (-F.col("nmatch")).alias("neg"), "qstart", "qend", "tname", "tstart", "tend", "strand",
-        lifted_position(F.col("pos")).alias("coord"),
-    )
-    # a partial minimum runs in the join stage, so a probe leaves each task once at most
-    return (
-        hits.groupBy("region_id", "probe_id", "pos").agg(F.min(best).alias("_b"))
-        .select("region_id", "probe_id", "pos", F.col("_b.tname").alias("contig"), F.col("_b.coord").alias("coord"))
+    placed = probes(regions.select("region_id", "seqname", "start", "end"), n).select("region_id", "seqname", "probe_id", "pos")
+    best = best_alignment_at(placed, paf)
+    return placed.join(best, ["seqname", "pos"]).select(
+        "region_id", "probe_id", "pos", F.col("tname").alias("contig"), lifted_position(F.col("pos")).alias("coord")
     )
 
 
@@ -143,30 +251,157 @@ def lift_by_extrapolation(regions: DataFrame, lifted: DataFrame) -> DataFrame:
     )
 
 
-def lift_regions(regions: DataFrame, paf: DataFrame, lengths: DataFrame, n: int = N_PROBES) -> DataFrame:
-    """First-pass liftover with refinement: accepted range, else extrapolation, else nothing; then widened and
-    clamped to ``[0, length - 1]``. ``lengths`` has contig and length. Regions that fail keep a row with nulls.
+@dataclass(frozen=True)
+class LiftMode:
+    """How a found range becomes the lifted one.
+
+    ``widen`` adds to both sides the share that goes with the range's size (sizes below the bounds, the last for all larger
+    ones). ``clamp`` is ``contig`` (the contig's length), ``source`` (the length of the region's own contig behind the
+    range's start) or ``aligned`` (where the contig's last alignment ends). ``any_range`` takes the range also where it fails the
+    acceptance test, and ``extrapolate`` only the median rule.
     """
+
+    widen: tuple[float, ...] = ()
+    clamp: str = "contig"
+    any_range: bool = False
+    extrapolate: bool = False
+
+
+#: Sizes that part the shares of ``widen``.
+SIZES = (50_000, 200_000)
+#: The modes by name: plain, widened for a second look, the second look itself, and a given library of alignments.
+MODES = {
+    "plain": LiftMode(clamp="source", any_range=True), "refine": LiftMode(widen=(0.25, 0.1, 0.05)),
+    "second": LiftMode(clamp="aligned", any_range=True), "library": LiftMode(clamp="aligned", any_range=True),
+    "extrapolation": LiftMode(clamp="source", extrapolate=True),
+}
+#: Share of its length by which an extract is longer than the first pass's range, on each side.
+EXTRACT_MARGIN = 0.02
+
+
+def lift_regions(regions: DataFrame, paf: DataFrame, lengths: DataFrame | None = None, n: int = N_PROBES, mode: str | LiftMode = "refine") -> DataFrame:
+    """Liftover in one pass: accepted range, else extrapolation, else nothing; then widened and clamped as the mode says.
+
+    ``lengths`` has contig and length; the mode ``plain`` takes the length of the region's own contig from ``qlen`` in ``paf``. Regions that fail
+    keep a row with nulls.
+    """
+    rule = MODES[mode] if isinstance(mode, str) else mode
     lifted = lift_probes(regions, paf, n)
-    by_range = lift_by_range(regions, lifted).where("accepted").select(
-        "region_id", "contig", F.col("lift_start").cast("double").alias("s"), F.col("lift_end").cast("double").alias("e"),
-        F.lit("range").alias("method"),
-    )
     by_extra = lift_by_extrapolation(regions, lifted).select(
         "region_id", "contig", F.col("lift_start").alias("s"), F.col("lift_end").alias("e"),
         F.lit("extrapolated").alias("method"),
     )
-    found = by_range.unionByName(by_extra.join(by_range, "region_id", "left_anti"))
+    found = by_extra
+    if not rule.extrapolate:
+        by_range = lift_by_range(regions, lifted).where(F.lit(True) if rule.any_range else F.col("accepted")).select(
+            "region_id", "contig", F.col("lift_start").cast("double").alias("s"), F.col("lift_end").cast("double").alias("e"),
+            F.lit("range").alias("method"),
+        )
+        found = by_range.unionByName(by_extra.join(by_range, "region_id", "left_anti"))
+    if rule.clamp == "aligned":
+        found = found.join(paf.groupBy(F.col("tname").alias("contig")).agg(F.max("tend").alias("length")), "contig")
+        most = F.col("length").cast("double")
+    elif rule.clamp == "source":
+        own = paf.groupBy(F.col("qname").alias("seqname")).agg(F.max("qlen").alias("length"))
+        found = found.join(regions.select("region_id", "seqname"), "region_id").join(own, "seqname")
+        most = F.col("length") + F.col("s") - 1
+    else:
+        found = found.join(lengths, "contig")
+        most = F.col("length") - 1.0
     size = F.col("e") - F.col("s")
-    widen = F.when(size < 50_000, 0.25).when(size < 200_000, 0.1).otherwise(0.05) * size
-    placed = found.join(lengths, "contig").select(
-        "region_id", "contig", "method",
-        F.greatest(F.lit(0.0), F.col("s") - widen).cast("long").alias("lift_start"),
-        F.least(F.col("length") - 1.0, F.col("e") + widen - 1).cast("long").alias("lift_end"),
+    widen = F.lit(0.0)
+    if rule.widen:
+        by_size = F.lit(rule.widen[-1])
+        for bound, share in reversed(list(zip(SIZES, rule.widen))):
+            by_size = F.when(size < bound, share).otherwise(by_size)
+        widen = by_size * size
+    placed = found.select(
+        "region_id", "contig", "method", F.greatest(F.lit(0.0), F.col("s") - widen).cast("long").alias("lift_start"),
+        F.least(most, F.col("e") + widen - 1).cast("long").alias("lift_end"),
     )
     return regions.select("region_id").join(placed, "region_id", "left")
 
 
+def as_map(paf: DataFrame) -> DataFrame:
+    """Alignments as pieces of coordinate maps ``a -> b``: ``a_name, a_start, a_end, b_name, b_start, b_end, turned, weight``, closed ends."""
+    return paf.select(
+        F.col("qname").alias("a_name"), F.col("qstart").alias("a_start"), F.col("qend").alias("a_end"), F.col("tname").alias("b_name"),
+        F.col("tstart").alias("b_start"), F.col("tend").alias("b_end"), (F.col("strand") == "-").alias("turned"), F.col("nmatch").alias("weight"),
+    )
+
+
+def compose(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The map a -> c of two piecewise maps a -> b and b -> c with slopes of one: a piece for each overlap on b, cut to it on both sides.
+
+    A piece is turned if just one of its parts is; the smaller weight of both counts. Overlaps are an equi-join on bins of b.
+    """
+    left = first.select(*first.columns, (F.col("b_end") + 1).alias("_e"))
+    right = second.select(
+        F.col("a_name").alias("b_name"), F.col("a_start").alias("m_start"), F.col("a_end").alias("m_end"), F.col("b_name").alias("c_name"),
+        F.col("b_start").alias("c_start"), F.col("b_end").alias("c_end"), F.col("turned").alias("turned2"), F.col("weight").alias("weight2"),
+        (F.col("a_end") + 1).alias("_me"),
+    )
+    met = overlap_join(left, right, ["b_name"], ("b_start", "_e"), ("m_start", "_me"))
+    lo, hi = F.greatest("b_start", "m_start"), F.least("b_end", "m_end")
+    met = met.withColumns({"lo": lo, "hi": hi})
+    before, behind = F.col("lo") - F.col("b_start"), F.col("b_end") - F.col("hi")
+    a_start = F.when(F.col("turned"), F.col("a_start") + behind).otherwise(F.col("a_start") + before)
+    into = F.when(F.col("turned2"), F.col("m_end") - F.col("hi")).otherwise(F.col("lo") - F.col("m_start"))
+    c_start, size = F.col("c_start") + into, F.col("hi") - F.col("lo")
+    return met.select(
+        "a_name", a_start.alias("a_start"), (a_start + size).alias("a_end"), F.col("c_name").alias("b_name"), c_start.alias("b_start"),
+        (c_start + size).alias("b_end"), (F.col("turned") != F.col("turned2")).alias("turned"), F.least("weight", "weight2").alias("weight"),
+    )
+
+
+def from_map(pieces: DataFrame) -> DataFrame:
+    """A map as alignment rows again."""
+    return pieces.select(
+        F.col("a_name").alias("qname"), F.col("a_start").alias("qstart"), F.col("a_end").alias("qend"),
+        F.when(F.col("turned"), "-").otherwise("+").alias("strand"), F.col("b_name").alias("tname"), F.col("b_start").alias("tstart"),
+        F.col("b_end").alias("tend"), F.col("weight").alias("nmatch"),
+    )
+
+
+def extracts(first: DataFrame, margin: float = EXTRACT_MARGIN) -> DataFrame:
+    """``region_id, contig, extract_start, extract_end``: what a second pass looks at, the found range and a margin on each side."""
+    more = (F.col("lift_end") - F.col("lift_start")) * margin
+    return first.where("contig is not null").select(
+        "region_id", "contig", F.greatest(F.lit(0).cast("long"), (F.col("lift_start") - more).cast("long")).alias("extract_start"),
+        (F.col("lift_end") + more).cast("long").alias("extract_end"),
+    )
+
+
+def lift_twice(regions: DataFrame, first: DataFrame, extract_paf: DataFrame, margin: float = EXTRACT_MARGIN, n: int = N_PROBES) -> DataFrame:
+    """The second pass after ``first`` (of ``lift_regions``): each region again, over alignments of it to the extract that ``extracts`` names.
+
+    ``extract_paf`` has region_id and rows whose target is the extract, in its own coordinates (from 0). An extract is a piece of its contig,
+    so these alignments composed with that piece's map lie on the contig. A region whose second pass fails keeps the first; ``passes`` tells.
+    """
+    first = materialise(first)
+    cut = materialise(extracts(first, margin))
+    tag = F.concat(F.lit("r"), F.col("region_id").cast("string"))
+    # both sides are named by the region, so that regions never meet
+    to_extract = as_map(extract_paf.join(cut.select("region_id"), "region_id", "left_semi").withColumns({"qname": tag, "tname": tag}))
+    piece = cut.select(
+        tag.alias("a_name"), F.lit(0).cast("long").alias("a_start"), (F.col("extract_end") - F.col("extract_start")).alias("a_end"),
+        F.col("contig").alias("b_name"), F.col("extract_start").alias("b_start"), F.col("extract_end").alias("b_end"), F.lit(False).alias("turned"),
+        F.lit(2**62).alias("weight"),
+    )
+    # several regions may lie on one contig: where its last alignment ends is asked of each region's own rows
+    composed = from_map(compose(to_extract, piece)).withColumn("tname", F.concat_ws("\t", "qname", "tname"))
+    named = regions.join(cut.select("region_id"), "region_id", "left_semi").withColumn("seqname", tag)
+    second = lift_regions(named, materialise(composed), n=n, mode="second").where("contig is not null").select(
+        "region_id", F.split_part("contig", F.lit("\t"), F.lit(2)).alias("contig2"), F.col("method").alias("method2"),
+        F.col("lift_start").alias("start2"), F.col("lift_end").alias("end2"),
+    )
+    return first.join(second, "region_id", "left").select(
+        "region_id", F.coalesce("contig2", "contig").alias("contig"), F.coalesce("method2", "method").alias("method"),
+        F.coalesce("start2", "lift_start").alias("lift_start"), F.coalesce("end2", "lift_end").alias("lift_end"),
+        F.when(F.col("contig2").isNotNull(), 2).when(F.col("contig").isNotNull(), 1).otherwise(0).alias("passes"),
+    )
+
+
 def swap_roles(paf: DataFrame) -> DataFrame:
     """Exchange query and target, as for a library whose roles are the other way round."""
     pairs = [("name", "qname", "tname"), ("start", "qstart", "tstart"), ("end", "qend", "tend"), ("len", "qlen", "tlen")]
