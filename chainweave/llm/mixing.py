@@ -2,9 +2,9 @@
 
 The words of a source are packed, document after document, into blocks of a fixed length. Every slot of the mix holds one
 block. The output shards draw how many slots each source gets: multinomial draws, conditioned on the sources' totals over
-all shards, which are the rounded targets; such draws are the counts that a pseudorandom permutation of all slots gives. A
-source's draws go through its blocks by a pseudorandom permutation of their indices, a new one for each pass, and blocks are
-joined by index. Permutations are computed index by index (swap-or-not rounds), so nothing is sorted, kept or sent for them.
+all shards, which are the rounded targets; such draws are the counts that a pseudorandom permutation of all slots gives. A source's draws are
+numbered by prefix sums of its counts over the shards, go through its blocks by a pseudorandom permutation of their indices, a new
+one for each pass, and blocks are joined by index to the shards. What the mix takes of a document is counted in the shards. Permutations are computed index by index (swap-or-not rounds), so nothing is sorted, kept or sent for them.
 
 Where a source's documents begin in it is a prefix sum in two levels: over tiles of about the root of the number of
 documents, and over the documents of a tile. So no task reads a whole source.
@@ -27,6 +27,8 @@ BLOCK_WORDS = 32
 SHARD_SLOTS = 8192
 DRAWS_A_TASK = 32_768
 ROUNDS = 12
+#: Shards of a tile of a prefix sum.
+TILE_SHARDS = 4096
 SEED = 20_111
 #: Sources up to which their table is broadcast (a few dozen bytes a row); beyond it the join is salted.
 FEW_SOURCES = 50_000
@@ -86,13 +88,13 @@ def permuted(index: Column, n: Column, *key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), index.cast("long"), swapped)
 
 
-def with_source(rows: DataFrame, sources: DataFrame, on: str, *columns: str) -> DataFrame:
+def with_source(rows: DataFrame, sources: DataFrame, on: str, *columns: str, salt_by: str = "doc_id") -> DataFrame:
     """Join the sources' table by ``on`` (null equals null), without sending a hot source to one task."""
-    small = sources.select(F.col(on).alias("own_"), *columns)
+    small = sources.select(F.col(on).alias("own_"), *(F.col(c) for c in columns))
     if sources.count() <= FEW_SOURCES:
         return rows.join(F.broadcast(small), F.col(on).eqNullSafe(F.col("own_"))).drop("own_")
     salted = small.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = rows.withColumn("dealt_", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    dealt = rows.withColumn("dealt_", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)))
     return dealt.join(salted, F.col(on).eqNullSafe(F.col("own_")) & (F.col("dealt_") == F.col("salt_"))).drop("own_", "salt_", "dealt_")
 
 
@@ -110,28 +112,61 @@ def placed(counted: DataFrame) -> DataFrame:
     return within.join(base, ["source_no", "tile"]).select("doc_id", "source_no", "size", (F.col("base") + F.col("within")).alias("start"))
 
 
+def summed_before(rows: DataFrame, keys: tuple[str, ...], order: str, value: str, name: str, tile: int = TILE_SHARDS) -> DataFrame:
+    """Add ``name``, the sum of ``value`` over the rows of the same keys with a lesser ``order``: within tiles, and over the tiles' sums."""
+    tiled = rows.withColumn("tile_", F.floor(F.col(order) / tile))
+    inside = Window.partitionBy(*keys, "tile_").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*keys).orderBy("tile_").rowsBetween(Window.unboundedPreceding, -1)
+    base = tiled.groupBy(*keys, "tile_").agg(F.sum(value).alias("sum_")).select(*keys, "tile_", F.coalesce(F.sum("sum_").over(upto), F.lit(0)).alias("base_"))
+    within = tiled.withColumn("within_", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return within.join(base, [*keys, "tile_"]).withColumn(name, F.col("base_") + F.col("within_")).drop("tile_", "base_", "within_")
+
+
+def shard_counts(quota: DataFrame, shard_slots: int, tasks: int, seed: int) -> DataFrame:
+    """``shard, source_no, drawn``: how many slots of each shard a source gets.
+
+    The draws are multinomial, conditioned on the sources' totals: a pseudorandom permutation deals all slots out, and the shard that a slot falls
+    into counts it.
+    """
+    # few rows that grow into many: they are spread before they grow, in two steps, so that no row holds a long array
+    coarse = quota.withColumn("from", F.explode(F.expr("sequence(0L, draws - 1, 16777216L)")))
+    fine = coarse.withColumn("from", F.explode(F.expr("sequence(from, least(from + 16777216L, draws) - 1, 4096L)")))
+    dealt = fine.repartition(tasks, "source_no", "from")
+    each = dealt.withColumn("draw", F.explode(F.expr("sequence(from, least(from + 4096L, draws) - 1)")))
+    slot = permuted(F.col("first") + F.col("draw"), F.col("slots"), F.lit(seed))
+    return each.select(F.floor(slot / shard_slots).cast("long").alias("shard"), "source_no").groupBy("shard", "source_no").agg(F.count("*").alias("drawn"))
+
+
 def draw(sources: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """``shard, position, source_no, block``: a row for every slot of the mix."""
+    """``shard, position, source_no, block``: a row for every slot of the mix.
+
+    A shard's slots of a source are that source's next draws, numbered on from the shards before it; the draw's number says which pass
+    over the source it belongs to and, through the pass's permutation, which block it takes.
+    """
     upto = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
     filled = sources.where("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block_words).cast("long"))
-    quota = (
+    quota = materialise(
         filled.withColumn("draws", F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"))
         .where("draws > 0")
         .withColumn("first", F.coalesce(F.sum("draws").over(upto), F.lit(0)))
         .withColumn("slots", F.sum("draws").over(Window.partitionBy()))
+        .select("source_no", "blocks", "draws", "first", "slots")
     )
-    # draws are numbered in two steps, so that no row holds a long array
-    coarse = quota.withColumn("from", F.explode(F.expr("sequence(0L, draws - 1, 16777216L)")))
-    fine = coarse.withColumn("from", F.explode(F.expr("sequence(from, least(from + 16777216L, draws) - 1, 4096L)")))
-    # few rows that grow into many: the number of tasks comes from what they grow to
-    words = sources.agg(F.sum("source_size")).first()[0] or 0
-    dealt = fine.repartition(max(1, words // block_words // DRAWS_A_TASK), "source_no", "from")
-    drawn = dealt.withColumn("draw", F.explode(F.expr("sequence(from, least(from + 4096L, draws) - 1)")))
-    passes, index = F.floor(F.col("draw") / F.col("blocks")).cast("long"), F.pmod("draw", "blocks")
-    return (
-        drawn.withColumn("slot", permuted(F.col("first") + F.col("draw"), F.col("slots"), F.lit(seed)))
-        .withColumn("block", permuted(index, F.col("blocks"), F.lit(seed), F.col("source_no"), passes))
-        .select(F.floor(F.col("slot") / shard_slots).cast("long").alias("shard"), F.pmod("slot", F.lit(shard_slots)).alias("position"), "source_no", "block")
+    slots = quota.agg(F.max("slots")).first()[0] or 0
+    tasks = max(1, slots // DRAWS_A_TASK)
+    drawn = materialise(shard_counts(quota, shard_slots, tasks, seed))
+    numbered = summed_before(drawn, ("source_no",), "shard", "drawn", "number")
+    # where a source's slots begin among those of a shard; a shard has at most so many sources as slots
+    beside = Window.partitionBy("shard").orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("shard")
+    placed_ = numbered.withColumns({"ahead": F.coalesce(F.sum("drawn").over(beside), F.lit(0)), "room": F.sum("drawn").over(whole)})
+    counts = with_source(placed_, quota, "source_no", "blocks", salt_by="shard")
+    each = counts.repartition(tasks, "shard", "source_no").withColumn("k", F.explode(F.expr("sequence(0L, drawn - 1)")))
+    number = F.col("number") + F.col("k")
+    passes, index = F.floor(number / F.col("blocks")).cast("long"), F.pmod(number, F.col("blocks"))
+    return each.select(
+        "shard", permuted(F.col("ahead") + F.col("k"), F.col("room"), F.lit(seed), F.col("shard")).alias("position"), "source_no",
+        permuted(index, F.col("blocks"), F.lit(seed), F.col("source_no"), passes).alias("block"),
     )
 
 
@@ -139,7 +174,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         most: int = MOST_PASSES, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> Mix:
     """Mix whole documents to the targets of their sources.
 
-    A null text has no words and is never taken; a null source is a source of its own; a null id is kept; repeated rows are
+    A null text has no words and is never taken; an empty or very long text is one like others; a null source is a source of its own; a null id is kept; repeated rows are
     packed one after the other and taken each; an empty table gives an empty mix; columns beyond the three named are not
     read. A source's words in the mix differ from its target by about a block at most, and no block is drawn more than
     ``most`` times.
@@ -157,21 +192,36 @@ def overlaps(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return documents.where("size > 0").select("*", block).withColumn("words", end - F.greatest("start", F.col("block") * block_words))
 
 
-def taken(m: Mix, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``doc_id, source_no, size, taken``: how many words of each document the mix takes, repeats counted."""
+def shards(m: Mix, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The mix itself: ``shard, position, source_no, block, doc_id, size, start, from_word, words``, a row for each document's part in a slot's block.
+
+    ``from_word`` is the part's first word in its document. Slots in order of position, and within them parts in order of ``start``, are a
+    shard's text.
+    """
+    parts = overlaps(m.documents, block_words)
     # the hint keeps the planner from taking the slots, made from a tiny table, for small
-    uses = m.slots.groupBy("source_no", "block").agg(F.count("*").alias("uses")).hint("merge")
-    found = overlaps(m.documents, block_words).join(uses, ["source_no", "block"], "left")
-    sums = found.groupBy("doc_id", "source_no", "size", "start").agg(F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).alias("taken"))
-    none = m.documents.where("size = 0").select("doc_id", "source_no", "size", F.lit(0).cast("long").alias("taken"))
-    return sums.select("doc_id", "source_no", "size", "taken").union(none)
+    found = m.slots.hint("merge").join(parts, ["source_no", "block"])
+    from_word = F.greatest(F.col("block") * block_words - F.col("start"), F.lit(0))
+    return found.select("shard", "position", "source_no", "block", "doc_id", "size", "start", from_word.alias("from_word"), "words")
+
+
+def taken(m: Mix, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``doc_id, source_no, size, taken``: how many words of each document the shards hold, repeats counted."""
+    sums = shards(m, block_words).groupBy("source_no", "start").agg(F.sum("words").alias("taken"))
+    here = m.documents.withColumnRenamed("start", "at_").alias("d").join(
+        sums.alias("s"),
+        # documents with words begin at places of their own
+        (F.col("d.source_no") == F.col("s.source_no")) & (F.col("at_") == F.col("s.start")) & (F.col("d.size") > 0), "left",
+    )
+    return here.select("d.doc_id", "d.source_no", "d.size", F.coalesce("s.taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                     weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """Whole documents as often as the mix takes their words: that number is rounded up or down at random, by a hash, so
     that a source's words come near its target. Documents that are not taken are not returned; those taken twice or three
-    times are returned so often, with all their columns. Documents without a word are never taken.
+    times are returned so often, with all their columns. Documents without a word are never taken. Null ids and sources are kept, repeated rows
+    share what the mix takes of them, an empty table gives no rows, and a column's name may be one that is used inside.
     """
     key, times, turn = (fresh(docs, c) for c in ("key", "times", "turn"))
     keyed = docs.withColumn(key, F.xxhash64(id_col, text_col, source_col))

@@ -79,3 +79,44 @@ def test_mixed_documents_are_whole(spark):
     df = frame(spark, extra=("key", "times"))
     got = Counter(mixing.mixed_documents(df).collect())
     assert set(got) <= set(df.collect()) and max(got.values()) <= 6
+
+
+def test_taken_is_counted_in_the_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TILE_SHARDS", 2)
+    df = frame(spark)
+    m = mixing.mix(df, shard_slots=16)
+    texts = {r.doc_id: (r.text or "").split() for r in df.collect()}
+    rows = mixing.shards(m).collect()
+    slots = Counter((r.shard, r.source_no) for r in m.slots.collect())
+    # every shard is full but the last, and its positions have no gap
+    places = {}
+    for r in m.slots.collect():
+        places.setdefault(r.shard, []).append(r.position)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert sorted(map(len, places.values()))[1:] == [16] * (len(places) - 1)
+    # a source's draws are numbered over the shards, each pass by its own permutation: recomputed from the counts alone
+    blocks = {r.source_no: -(-r.source_size // mixing.BLOCK_WORDS) for r in m.sources.collect()}
+    for no, n in blocks.items():
+        used = [r.block for r in m.slots.where(f"source_no = {no}").orderBy("shard").collect()]
+        assert sum(c for (_, k), c in slots.items() if k == no) == len(used)
+        first_pass = Counter(used)
+        assert len(used) == 0 or max(first_pass.values()) - min([first_pass.get(b, 0) for b in range(n)]) <= 1
+    got = Counter()
+    for r in rows:
+        assert 0 < r.words <= mixing.BLOCK_WORDS and r.from_word + r.words <= r["size"]
+        got[r.doc_id, r["size"]] += r.words
+    want = Counter()
+    for r in mixing.taken(m).collect():
+        want[r.doc_id, r["size"]] += r.taken
+    assert +got == +want and sum(got.values()) > sum(map(len, texts.values())) * 0.9
+
+
+def test_shard_counts_vary_about_their_share(spark):
+    df = frame(spark, [(i, "w " * 320, "en", "ab"[i % 2], 1) for i in range(200)])
+    m = mixing.mix(df, shard_slots=64)
+    counts = {(r.shard, r.source_no): r["count"] for r in m.slots.groupBy("shard", "source_no").count().collect()}
+    share = [counts.get((k, 1), 0) for k in range(31)]
+    mean = sum(share) / len(share)
+    spread = sum((x - mean) ** 2 for x in share) / len(share)
+    # of two sources with weights of 5 and 2: a binomial count of 64 slots
+    assert abs(mean - 64 * 5 / 7) < 3 and 4 < spread < 40
