@@ -22,6 +22,8 @@ from chainweave.llm.common import fresh
 from chainweave.llm.components import components
 from chainweave.session import materialise
 
+#: Pairs whose edit distance one task takes.
+PAIRS_A_TASK = 2048
 #: What makes a line one to compare.
 SPOKEN = r"[\p{L}\p{N}]"
 DISTANCE = 3
@@ -174,8 +176,8 @@ def edit_similar(pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The rows of ``a, b, norm_a, norm_b`` where 1 - edit distance / longer length is at least ``least``.
 
     Equal words at both ends (each with its blank) do not count for the distance and are taken off first. What is left is
-    near enough if the longer rest is no longer than the distance allowed, too far if the lengths differ by more, and else
-    compared within that distance.
+    near enough if the longer rest is no longer than the distance allowed, or if as many words are left on both sides and exchanging
+    those that differ costs no more than that; too far if the lengths differ by more; and else compared within that distance.
     """
     n_a, n_b = F.length("norm_a"), F.length("norm_b")
     allowed = F.floor((1 - least) * F.greatest(n_a, n_b) + 1e-9).cast("int")
@@ -193,8 +195,13 @@ def edit_similar(pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     begun = words.withColumn("starts", alike("x", "y"))
     cut = begun.select("a", "b", "allowed", *(F.slice(c, F.col("starts") + 1, F.size(c)).alias(c) for c in ("x", "y")))
     turned = cut.select("a", "b", "allowed", "x", "y", F.reverse("x").alias("rx"), F.reverse("y").alias("ry")).withColumn("ends", alike("rx", "ry"))
-    left = turned.select("a", "b", "allowed", rest("x").alias("x"), rest("y").alias("y"))
-    short = F.greatest(F.length("x"), F.length("y")) <= F.col("allowed")
+    # a word becomes another by at most as many edits as the longer has letters
+    price = F.aggregate(
+        F.zip_with("x", "y", lambda p, q: F.when(p == q, 0).otherwise(F.greatest(F.length(p), F.length(q)))), F.lit(0), lambda n, k: n + k
+    )
+    price = F.when(F.size("x") == F.size("y"), price)
+    left = turned.select("a", "b", "allowed", rest("x").alias("x"), rest("y").alias("y"), price.alias("price"))
+    short = (F.greatest(F.length("x"), F.length("y")) <= F.col("allowed")) | F.coalesce(F.col("price") <= F.col("allowed"), F.lit(False))
     return left.where(F.when(short, True).otherwise(F.expr("levenshtein(x, y, allowed) >= 0"))).select("a", "b")
 
 
@@ -220,7 +227,9 @@ def first_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             .select("id", norm).distinct()
         )
         a, b = texts.select(F.col("id").alias("a"), F.col("norm").alias("norm_a")), texts.select(F.col("id").alias("b"), F.col("norm").alias("norm_b"))
-        return materialise(edit_similar(pairs.join(a, "a").join(b, "b"), similarity))
+        # few bytes may be much work: tasks by number of pairs
+        spread = pairs.join(a, "a").join(b, "b").repartition(max(1, pairs.count() // PAIRS_A_TASK), "a", "b")
+        return materialise(edit_similar(spread, similarity))
 
     found, left = close_pairs(distinct.select("id", "fp"), distinct.count())
     crowded = not left.isEmpty()

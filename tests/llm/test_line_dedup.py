@@ -1,9 +1,10 @@
+import random
 from collections import Counter, defaultdict
 
 import pytest
 import regex
 import xxhash
-from fixtures import documents, frame
+from fixtures import documents, frame, prose
 
 from chainweave.llm import line_dedup
 
@@ -133,3 +134,17 @@ def test_no_pair_is_lost_with_an_unlike_hub(spark, monkeypatch):
 def test_empty(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).collect() == []
     assert line_dedup.dedup_lines(frame(spark, [(1, None, None, None, None)])).first().text is None
+
+
+def test_exchanged_words_are_a_bound(spark):
+    """Pairs with as many words on both sides: what the bound lets through is what the distance says."""
+    r = random.Random(12)
+    words = [prose(k, 1).split()[0] for k in range(60)]
+    rows = []
+    for k in range(300):
+        a = [r.choice(words) for _ in range(r.randint(3, 30))]
+        b = [r.choice(words) if r.random() < r.choice((0.1, 0.3)) else w for w in a]
+        rows.append((2 * k, 2 * k + 1, " ".join(a), " ".join(b)))
+    got = {x.a for x in line_dedup.edit_similar(spark.createDataFrame(rows, "a long, b long, norm_a string, norm_b string")).collect()}
+
+    assert got == {a for a, _, x, y in rows if distance(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9)}
