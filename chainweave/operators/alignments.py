@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainweave.operators.scans import near_neighbours, running_max_before, tile_of
 from chainweave.session import materialise
 
+#: Pairs of a cell up to which they are made one by one.
+FEW_PAIRS = 1024
+#: Ends of a cell that one task compares with its starts, and starts that pass by at once.
+ENDS_A_CELL = 50_000
+BLOCK_ROWS = 64
+#: What rows are ordered by first.
+PLACES = ("tstart", "qs", "tend", "qe")
+
 
 def orient(df: DataFrame) -> DataFrame:
     """Add ``qs`` and ``qe``: the query ends in target direction (swapped on the minus strand)."""
@@ -206,6 +216,146 @@ def neighbour_pairs(df: DataFrame, tolerance: Column, keys: Sequence[str], min_l
     return pairs.select(*keys, "first", "second", (F.col("_m1") + F.col("_m2")).alias("combined"))
 
 
+def _best_of_cells(width: int, block_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For rows sorted by cell, firsts before seconds and seconds by matches downwards; ``width`` key columns tell cells apart.
+
+    A first stops at the first second that fits, but for those with as many matches. Seconds pass by in blocks and are never held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell: tuple | None = None
+        held: list[pa.RecordBatch] = []
+        firsts: list[np.ndarray] = []  # id, ord, t, q, m, tol and the matches a first has found (-1: none)
+
+        def pairs(block: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            if not len(firsts[0]):
+                return
+            id1, t1, q1, m1, tol, floor, *order1, name1, got = firsts
+            id2, t2, q2, m2, *order2, name2 = (block.column(c).to_numpy(zero_copy_only=False) for c in ("id", "t", "q", "m", *PLACES, "qname"))
+            for at in range(0, len(id2), block_rows):
+                some = slice(at, at + block_rows)
+                open_ = np.flatnonzero((got < 0) | (got == m2[some][0]))
+                for part in range(0, len(open_), 4096):
+                    rows = open_[part : part + 4096]
+                    fits = (
+                        (np.abs(t1[rows, None] - t2[None, some]) < tol[rows, None]) & (np.abs(q1[rows, None] - q2[None, some]) < tol[rows, None])
+                        & (m1[rows, None] + m2[None, some] > floor[rows, None])
+                    )
+                    i, j = np.nonzero(fits)
+                    fits[i, j] = before([x[rows][i] for x in order1], [x[some][j] for x in order2], (name1, m1, id1), rows[i], (name2, m2, id2), at + j)
+                    # the greatest matches among the hits, or those found before
+                    best = np.where(got[rows] >= 0, got[rows], np.where(fits, m2[None, some], -1).max(1))
+                    fits &= m2[None, some] == best[:, None]
+                    got[rows] = best
+                    i, j = np.nonzero(fits)
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(id1[rows][i]), pa.array(id2[some][j]), pa.array(m1[rows][i] + m2[some][j])], ["first", "second", "combined"]
+                        )
+
+        def before(a: list[np.ndarray], b: list[np.ndarray], own: tuple, i: np.ndarray, other: tuple, j: np.ndarray) -> np.ndarray:
+            """Whether the first comes before the second in the order of the rows."""
+            less, same = np.zeros(len(i), bool), np.ones(len(i), bool)
+            for x, y in zip(a, b):
+                less |= same & (x < y)
+                same &= x == y
+            for k in np.flatnonzero(same):
+                less[k] = tuple(x[i[k]] for x in own) < tuple(x[j[k]] for x in other)
+            return less
+
+        def closed() -> None:
+            columns = ("id", "t", "q", "m", "tol", "floor", *PLACES, "qname")
+            parts = [[b.column(c).to_numpy(zero_copy_only=False) for b in held] for c in columns]
+            firsts[:] = [np.concatenate(p) if p else np.zeros(0) for p in parts]
+            firsts.append(np.full(len(firsts[0]), -1, np.int64))
+            held.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(width))))
+            side = batch.column("second").to_numpy(zero_copy_only=False)
+            cuts = [0] + [k for k in range(1, len(keys)) if keys[k] != keys[k - 1] or side[k] != side[k - 1]] + [len(keys)]
+            for a, b in zip(cuts, cuts[1:]):
+                part = batch.slice(a, b - a)
+                if keys[a] != cell:
+                    cell = keys[a]
+                    held.clear()
+                    firsts.clear()
+                if not side[a]:
+                    held.append(part)
+                    continue
+                if not firsts:
+                    closed()
+                yield from pairs(part)
+
+    return run
+
+
+def best_in_cells(
+    df: DataFrame, tolerance: Column, keys: Sequence[str], min_length: Column | None = None, min_combined: Column | None = None
+) -> DataFrame:
+    """``first, second, combined``: for each end and each cell it touches all starts near it, or in a cell with more than a few pairs the best.
+
+    The cells are those of ``neighbour_pairs``. In a crowded cell the starts are sorted by matches, and an end stops at the first that fits (ties stay);
+    a cell with very many ends is several, each with all its starts. So apart from ties an end leaves a crowded cell with one pair.
+    """
+    keys = list(keys)
+    usable = (df if min_length is None else df.where(F.col("alen") > min_length)).withColumn("_tol", tolerance)
+    floor = F.lit(-1.0) if min_combined is None else min_combined
+
+    def cell(pos: Column) -> Column:
+        return F.floor(pos / (4 * F.col("_tol"))).cast("long")
+
+    def touched(pos: str) -> Column:
+        return F.explode(F.sequence(cell(F.col(pos) - F.col("_tol")), cell(F.col(pos) + F.col("_tol"))))
+
+    place = [*(f"_k{i}" for i in range(len(keys))), "strand", "_ct", "_cq"]
+    usable = usable.withColumns({f"_k{i}": F.col(k) for i, k in enumerate(keys)})
+    firsts = (
+        usable.withColumn("floor", floor.cast("double")).withColumn("_ct", touched("tend")).withColumn("_cq", touched("qe"))
+        .select(*place, *PLACES, "qname", "id", F.col("tend").alias("t"), F.col("qe").alias("q"), F.col("nmatch").alias("m"), F.col("_tol").cast("double").alias("tol"), "floor")
+    )
+    seconds = (
+        usable.withColumn("_ct", cell(F.col("tstart"))).withColumn("_cq", cell(F.col("qs")))
+        .select(*place, *PLACES, "qname", "id", F.col("tstart").alias("t"), F.col("qs").alias("q"), F.col("nmatch").alias("m"))
+    )
+    n_starts = seconds.groupBy(*place).agg(F.count("*").alias("_n2"))
+    counts = materialise(
+        firsts.groupBy(*place).agg(F.count("*").alias("_n1")).join(n_starts, place).where(F.col("_n1") * F.col("_n2") > FEW_PAIRS)
+        .select(*place, F.ceil(F.col("_n1") / ENDS_A_CELL).cast("int").alias("_parts"))
+    )
+    crowded = not counts.isEmpty()
+    one, two = (x.join(counts, place, "left_anti") if crowded else x for x in (firsts, seconds))
+    two = two.select(*place, *(F.col(c).alias(f"{c}_2") for c in two.columns if c not in place))
+    order = [F.struct(*(f"{c}{end}" for c in (*PLACES, "qname", "m", "id"))) for end in ("", "_2")]
+    light = one.join(two, place).where(
+        (F.abs(F.col("t") - F.col("t_2")) < F.col("tol")) & (F.abs(F.col("q") - F.col("q_2")) < F.col("tol"))
+        & (F.col("m") + F.col("m_2") > F.col("floor")) & (order[0] < order[1])
+    ).select(F.col("id").alias("first"), F.col("id_2").alias("second"), (F.col("m") + F.col("m_2")).alias("combined"))
+    if not crowded:
+        return light
+    ends = firsts.join(counts, place).withColumn("_part", F.pmod(F.xxhash64("id"), "_parts").cast("int")).drop("_parts")
+    starts = seconds.join(counts, place).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    both = ends.withColumn("second", F.lit(False)).unionByName(starts.withColumn("second", F.lit(True)), allowMissingColumns=True)
+    named = [*place, "_part"]
+    rows = both.select(
+        *named, "second", "id", *PLACES, "qname", F.col("t").cast("long").alias("t"), F.col("q").cast("long").alias("q"), F.col("m").cast("long").alias("m"), "tol", "floor"
+    )
+    rows = rows.repartition(*named).sortWithinPartitions(*named, "second", F.desc("m"))
+    return light.unionByName(rows.mapInArrow(_best_of_cells(len(named), BLOCK_ROWS), "first long, second long, combined long"))
+
+
+def best_neighbours(
+    df: DataFrame, tolerance: Column, keys: Sequence[str], min_length: Column | None = None, min_combined: Column | None = None
+) -> DataFrame:
+    """What ``best_pairs(neighbour_pairs(...))`` gives, without making all pairs of a crowded cell."""
+    keys = list(keys)
+    found = best_in_cells(df, tolerance, keys, min_length, min_combined)
+    owner = df.select(F.col("id").alias("first"), *keys)
+    return best_pairs(found.join(owner, "first"), keys).select(*keys, "first", "second", "combined")
+
+
 def best_pairs(pairs: DataFrame, keys: Sequence[str] = (), min_combined: Column | None = None) -> DataFrame:
     """Best partner per first row, then best per second row; ties stay."""
     if min_combined is not None:
@@ -264,8 +414,7 @@ def chain_merge(
     rows = with_ids(df, keys)
     floor = F.when(tol > 100, tol).otherwise(F.lit(-1.0))
     sized = rows.withColumn("_chunk", chunk_length)
-    pairs = neighbour_pairs(sized, tol, [*keys, "_chunk"], floor)
-    pairs = materialise(best_pairs(pairs, [*keys], F.col("_chunk") / 5).drop("_chunk"))
+    pairs = materialise(best_neighbours(sized, tol, [*keys, "_chunk"], floor, F.col("_chunk") / 5).drop("_chunk"))
     roots = chain_roots(pairs, keys)
     members = rows.join(roots.select(F.col("node").alias("id"), "root", "paths"), "id", "left")
     # pre-aggregated: a chain of any length is folded from partial sums

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,34 +88,47 @@ def dominant_steps(steps: DataFrame, winners: DataFrame) -> DataFrame:
     return hit.select("chr", "start", "end", "step", "name", *SOURCE)
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a partition in order: only the record that is still open is held, across batches too."""
+    key = start = end = None
+    names: list[str] = []
+    rows: list[tuple] = []
+
+    def out() -> pa.RecordBatch:
+        columns = list(zip(*rows))
+        rows.clear()
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["chr", "start", "end", "name"])
+
+    for batch in batches:
+        for chr_, source, s, e, name, n in zip(*(c.to_pylist() for c in batch.columns)):
+            if key == (chr_, source) and s < end and e > start:
+                end = max(end, e)
+                names += [name] * n
+                continue
+            if key is not None:
+                rows.append((key[0], start, end, "+".join(names)))
+            key, start, end, names = (chr_, source), s, e, [name] * n
+        if rows:
+            yield out()
+    if key is not None:
+        rows.append((key[0], start, end, "+".join(names)))
+        yield out()
+
+
 def fold_steps(dominant: DataFrame) -> DataFrame:
     """Fold overlapping steps (touching ones apart) into one record named by its ``+``-joined step types.
 
     The order is source start, then step. Steps of different source starts belong to different merged intervals
-    and cannot overlap, so a fold never crosses a source start; equal steps of many samples are counted first, so
-    a group holds the distinct steps of one region only.
+    and cannot overlap, so a fold never crosses a source start; equal steps of many samples are counted first. The steps of a
+    source stream through a task in order and are never gathered, so a source with very many costs time but no memory.
     """
     counted = dominant.groupBy("chr", "src_start", "step", "start", "end", simple_mutation(F.col("name")).alias("name")).agg(
         F.count("*").alias("n")
     )
-    ordered = F.sort_array(F.collect_list(F.struct("step", "start", "end", "name", "n")))
-    open_ = F.array().cast("array<struct<start:bigint,end:bigint,name:string>>")
-
-    def walk(done: Column, r: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        name = F.array_join(F.array_repeat(r["name"], r["n"].cast("int")), "+")
-        joins = (r["start"] < last["end"]) & (r["end"] > last["start"])
-        grown = F.struct(
-            last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"),
-            F.concat_ws("+", last["name"], name).alias("name"),
-        )
-        fresh = F.struct(r["start"].alias("start"), r["end"].alias("end"), name.alias("name"))
-        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(
-            F.concat(done, F.array(fresh))
-        )
-
-    folded = counted.groupBy("chr", "src_start").agg(ordered.alias("_steps"))
-    return folded.select("chr", F.inline(F.aggregate("_steps", open_, walk)))
+    ordered = counted.repartition("chr", "src_start").sortWithinPartitions("chr", "src_start", "step", "start", "end", "name", "n")
+    rows = ordered.select("chr", F.col("src_start").cast("long"), F.col("start").cast("long"), F.col("end").cast("long"), "name", "n")
+    return rows.mapInArrow(_folded, "chr string, start long, end long, name string")
 
 
 def regional_dominance(results: DataFrame, threshold: float = 98.0) -> DataFrame:

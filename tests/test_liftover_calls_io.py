@@ -207,3 +207,29 @@ def test_results_are_one_table(spark, tmp_path):
     assert not [p for p in (tmp_path / "r").iterdir() if p.is_dir()]
     back = readers.read_results(spark, str(tmp_path / "r"))
     assert back.columns == list(RESULT_COLUMNS) and sorted(r.start for r in back.collect()) == [0, 10, 20, 30, 40]
+
+
+def test_median_by_ranges(spark):
+    import random as rnd
+    import statistics
+
+    r = rnd.Random(3)
+    for values in ([5], [3, 9], [r.randrange(-50, 10**12) for _ in range(301)], [7] * 40 + [8] * 40, [r.randrange(100) for _ in range(200)]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v long").repartition(3)
+        assert pd_.exact_median(df, "v", ranges=5) == pd_.exact_median(df, "v") == statistics.median(values)
+    assert pd_.exact_median(spark.createDataFrame([], "v long"), "v") is None
+    assert pd_.window_summary(spark.createDataFrame([], "start long, end long")).first().n == 0
+
+
+def test_steps_stream_through_the_fold(spark):
+    """A source with very many steps: overlapping ones become one record, over the edges of batches too."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        df = spark.range(500).selectExpr(
+            "'c' as chr", "cast(0 as long) as src_start", "cast(id as int) as step", "id * 10 as start",
+            "case when id % 100 = 99 then id * 10 + 10 else id * 10 + 11 end as end", "'1_2_inv' as name",
+        )
+        got = sorted((r.start, r.end, r.name) for r in ca.fold_steps(df).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [(k * 1000, k * 1000 + 1000, "+".join(["inv"] * 100)) for k in range(5)]
