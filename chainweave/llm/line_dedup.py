@@ -227,8 +227,8 @@ def first_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             .select("id", norm).distinct()
         )
         a, b = texts.select(F.col("id").alias("a"), F.col("norm").alias("norm_a")), texts.select(F.col("id").alias("b"), F.col("norm").alias("norm_b"))
-        # few bytes may be much work: tasks by number of pairs
-        spread = pairs.join(a, "a").join(b, "b").repartition(max(1, pairs.count() // PAIRS_A_TASK), "a", "b")
+        # few bytes may be much work: the last join has tasks by number of pairs, and the distance is taken behind it
+        spread = pairs.join(a, "a").repartition(max(1, pairs.count() // PAIRS_A_TASK), "b").join(b, "b")
         return materialise(edit_similar(spread, similarity))
 
     found, left = close_pairs(distinct.select("id", "fp"), distinct.count())
