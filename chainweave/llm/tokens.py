@@ -26,7 +26,7 @@ UNUSUAL = r"[^\x09\x0A\x20-\x7E\x{A1}-\x{AC}\x{AE}-\x{17F}\x{2010}-\x{2015}\x{20
 LOOSE = r" [ \t\n]|[\t\n ] | $|^ "
 #: Entries and bytes of a worker's memory of pieces, and of stretches between blanks; each starts anew when full, which changes no result.
 MEMORY = 600_000
-MEMORY_BYTES = 48_000_000
+MEMORY_BYTES = 80_000_000
 #: Bytes of text that are cut up at once.
 CHARS_AT_ONCE = 1_000_000
 
