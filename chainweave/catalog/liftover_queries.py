@@ -201,3 +201,27 @@ def liftover_second_pass(spark, sf_dir):
     first = lo.lift_regions(regions(spark, sf_dir), alns, lengths)
     second = table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} as {n}" for n, e in _SECOND.items()])
     return lo.lift_twice(regions(spark, sf_dir), first, second)
+
+
+@query("region_cut_alignments", f"""with {LIFTED}, {WINNER}, {RANGE}, {EXTRA}, {REFINED},
+  met as (select p.region_id, p.contig, p.lift_start as ls, p.lift_end as le, r."start" as rs, r."end" as re, a.* exclude (bin),
+      a.qend - a.qstart as size from placed p join regions r on r.region_id = p.region_id
+    join (select *, unnest(range(qstart // 65536, qend // 65536 + 1)) as bin from aln) a on a.qname = r.seqname and a.tname = p.contig
+      and a.bin = greatest(a.qstart // 65536, r."start" // 65536) and a.qstart < r."end" and a.qend > r."start"),
+  once as (select *, greatest(rs - qstart, 0) as f, greatest(qend - re, 0) as b from met),
+  cut1 as (select region_id, contig, ls, le, rs, strand, nmatch, size, qstart + f as qs, qend - b as qe,
+    tstart + case when strand = '+' then f else b end as ts, tend - case when strand = '+' then b else f end as te from once),
+  twice as (select *, greatest(ls - ts, 0) as f, greatest(te - le, 0) as b from cut1),
+  cut2 as (select region_id, contig, ls, rs, strand, nmatch, size, ts + f as ts, te - b as te,
+    qs + case when strand = '+' then f else b end as qs, qe - case when strand = '+' then b else f end as qe from twice)
+  select region_id, contig as qname, ts - ls as qstart, te - ls as qend, strand, concat('r', region_id) as tname, qs - rs as tstart,
+    qe - rs as tend, cast(floor(nmatch * (qe - qs) / size::double) as bigint) as nmatch, qe - qs as alen
+  from cut2 where qs < qe and ts < te""")
+def region_cut_alignments(spark, sf_dir):
+    """What each region's own alignments are, cut out of the assemblies' alignments."""
+    from chainweave.plans.alignment import given_alignments
+
+    alns = alignments(spark, sf_dir)
+    lengths = alns.groupBy(F.col("tname").alias("contig")).agg(F.max("tend").alias("length"))
+    where = regions(spark, sf_dir)
+    return given_alignments(where.join(lo.lift_regions(where, alns, lengths), "region_id"), alns)

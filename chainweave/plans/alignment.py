@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chainweave.operators import alignments as aln
 from chainweave.operators import liftover as lo
 from chainweave.operators import sequences as sq
+from chainweave.operators.rangejoin import overlap_join
 from chainweave.session import materialise
 
 GENOME_CHUNK = 10_000  # fixed chunk length of whole-assembly alignment
@@ -52,15 +53,53 @@ def counterpart_regions(
 
     ``other_lengths`` has contig and length. Adds contig, method, lift_start and lift_end.
     """
+    padded = materialise(padded_regions(regions, sq.lengths(seqs).select(F.col("name").alias("contig"), "length"), factor))
+    paf = conversion_alignment(padded, seqs, align)
+    return padded.join(lo.lift_regions(padded, paf, other_lengths), "region_id")
+
+
+def padded_regions(regions: DataFrame, lengths: DataFrame, factor: float = 1.0) -> DataFrame:
+    """Regions widened by a factor within their contig (``lengths``: contig, length). One on an unknown contig stays as it is."""
     from chainweave.operators.intervals import enlarge
 
-    lengths = sq.lengths(seqs).withColumnRenamed("name", "seqname")
-    padded = enlarge(regions.join(lengths, "seqname"), factor, F.col("length")).select(
+    named = lengths.select(F.col("contig").alias("seqname"), "length")
+    wide = enlarge(regions.join(named, "seqname"), factor, F.col("length")).select(
         "region_id", "seqname", F.col("start_pad").alias("start"), F.col("end_pad").alias("end"), "exceeds_x"
     )
-    padded = materialise(padded)
-    paf = conversion_alignment(padded, seqs, align)
-    return padded.join(lo.lift_regions(padded, paf, other_lengths), "region_id")
+    unknown = regions.join(named, "seqname", "left_anti").select("region_id", "seqname", "start", "end", F.lit(None).cast("boolean").alias("exceeds_x"))
+    return wide.unionByName(unknown)
+
+
+def given_alignments(places: DataFrame, paf: DataFrame) -> DataFrame:
+    """Alignments of each region with its counterpart, cut out of given alignments of the assemblies, in coordinates of the two extracts.
+
+    ``places``: region_id, seqname, start, end, contig, lift_start, lift_end. An alignment is cut to the region, then to the counterpart; what a side
+    loses, the other loses too. Matches are shared out by length. The region becomes the target (x) and the counterpart the query (y).
+    """
+    whole = places.where("contig is not null").select("region_id", "seqname", F.col("start").alias("_rs"), F.col("end").alias("_re"), "contig", "lift_start", "lift_end")
+    rows = paf.select(F.col("qname").alias("seqname"), "qstart", "qend", "strand", "tname", "tstart", "tend", "nmatch")
+    met = overlap_join(whole, rows, ["seqname"], ("_rs", "_re"), ("qstart", "qend")).where("tname = contig")
+    plus = F.col("strand") == "+"
+
+    def trimmed(df: DataFrame, first: tuple[str, str], second: tuple[str, str], lo: str, hi: str) -> DataFrame:
+        """Cut the first axis to lo and hi, and the second by as much."""
+        front, back = F.greatest(F.col(lo) - F.col(first[0]), F.lit(0)), F.greatest(F.col(first[1]) - F.col(hi), F.lit(0))
+        cut = df.withColumns({"_f": front, "_b": back})
+        return cut.withColumns({
+            first[0]: F.col(first[0]) + F.col("_f"), first[1]: F.col(first[1]) - F.col("_b"),
+            second[0]: F.col(second[0]) + F.when(plus, F.col("_f")).otherwise(F.col("_b")),
+            second[1]: F.col(second[1]) - F.when(plus, F.col("_b")).otherwise(F.col("_f")),
+        })
+
+    sized = met.withColumn("_size", F.col("qend") - F.col("qstart"))
+    cut = trimmed(trimmed(sized, ("qstart", "qend"), ("tstart", "tend"), "_rs", "_re"), ("tstart", "tend"), ("qstart", "qend"), "lift_start", "lift_end")
+    length = F.col("qend") - F.col("qstart")
+    return cut.where("qstart < qend and tstart < tend").select(
+        "region_id", F.col("tname").alias("qname"), (F.col("tstart") - F.col("lift_start")).alias("qstart"),
+        (F.col("tend") - F.col("lift_start")).alias("qend"), "strand", F.concat(F.lit("r"), F.col("region_id").cast("string")).alias("tname"),
+        (F.col("qstart") - F.col("_rs")).alias("tstart"), (F.col("qend") - F.col("_rs")).alias("tend"),
+        F.floor(F.col("nmatch") * length / F.col("_size")).cast("long").alias("nmatch"), length.alias("alen"),
+    )
 
 
 def whole_records(seqs: DataFrame) -> DataFrame:
