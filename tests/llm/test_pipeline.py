@@ -54,7 +54,7 @@ def test_each_stage_against_brute_force(spark):
 
 def test_registered():
     names = set(queries())
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if re.match(r"op\d+_", x)} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in names if re.match(r"op\d+_", x)} and "pipeline" in names
     assert corpus_pipeline.ORACLE_SQL is None and "pipeline" not in oracle_sql()
 
 
