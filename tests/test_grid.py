@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from chainweave.config import GridLimits
@@ -117,3 +118,25 @@ def test_coarser_golden(spark):
 
     df = spark.createDataFrame([(100,), (1000,), (4000,), (8000,)], "s long")
     assert [r[0] for r in df.select(coarser(F.col("s"))).collect()] == [200, 2000, 8000, 10_000]
+
+
+@pytest.mark.parametrize("rounds,alignments,lines", ((32, 500, 5000), (1, 500, 5000), (32, 3, 5000), (32, 500, 10)))
+def test_gridlines_found_in_a_row_or_by_joins_are_the_same(spark, monkeypatch, rounds, alignments, lines):
+    """Small regions need no join; whatever is too large for a row goes on by joins."""
+    monkeypatch.setattr(g, "ROUNDS", rounds)
+    monkeypatch.setattr(g, "MANY_ALIGNMENTS", alignments)
+    monkeypatch.setattr(g, "MANY_LINES", lines)
+    if (rounds, alignments, lines) == (32, 500, 5000):
+        monkeypatch.setattr(g, "_project", None)
+    rows = random_alignments(2)
+    got = [tuple(x) for x in g.gridlines(spark.createDataFrame(rows, ALN)).collect()]
+    want = {(r, a, p) for r in {row[0] for row in rows} for a, p in naive_lines([row for row in rows if row[0] == r])}
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_a_region_with_too_many_lines_is_not_carried_on(spark):
+    rows = random_alignments(2)
+    got = g.gridlines(spark.createDataFrame(rows, ALN), limit=6).groupBy("region_id").count().collect()
+    full = g.gridlines(spark.createDataFrame(rows, ALN)).groupBy("region_id").count().collect()
+    want = {r["region_id"]: r["count"] for r in full}
+    assert all(r["count"] == want[r["region_id"]] or 6 < r["count"] < want[r["region_id"]] for r in got)
