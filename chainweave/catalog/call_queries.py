@@ -131,7 +131,7 @@ def vcf_genotypes(spark, sf_dir):
     concat('SVTYPE=', mutation, ';SVDEPTH=', len(string_split(mutation, '+')), ';SVLEN=', width_orig, ';END=', "end") as "INFO",
     'GT:PS' as "FORMAT", calls from wide""")
 def vcf_records(spark, sf_dir):
-    records = gt.vcf_records(gt.genotypes(gt.haplotype_calls(results(spark, sf_dir))))
+    records = gt.called_records(gt.haplotype_calls(results(spark, sf_dir)))
     shown = F.array_join(F.transform("calls", lambda c: F.concat_ws("=", c["sample"], c["call"])), " ")
     return records.withColumn("calls", shown)
 

@@ -27,14 +27,13 @@ def haplotype_calls(results: DataFrame, threshold: float = 98.0) -> DataFrame:
     )
 
 
-def genotypes(calls: DataFrame, ps: str = "start") -> DataFrame:
-    """One row per region, mutation and sample of the whole input: ``gt`` such as ``1|0`` and its phase set.
+def called(calls: DataFrame, ps: str = "start") -> DataFrame:
+    """One row per region and mutation: ``calls`` has sample_id, ``gt`` such as ``1|0`` and its phase set for each sample of the whole input.
 
     All rows of a haplotype count: it is 1 if any of them has the mutation, else 0 if any has a known call, else ``.``.
     The phase set is ``start`` (or ``start-end``) of the only mutated haplotype. Samples without a row in a region are
     ``.|.`` there.
     """
-    samples = calls.select("sample_id").distinct()
     mutations = calls.where(~F.col("mutation").isin(*NOT_CALLS)).groupBy(*REGION, "mutation").agg(F.max("width_orig").alias("width_orig"))
     known = F.col("call") != "UNK"
 
@@ -48,21 +47,34 @@ def genotypes(calls: DataFrame, ps: str = "start") -> DataFrame:
         *[side(p, m).alias(f"_{'has' if m else 'known'}{p}") for p in (1, 2) for m in (True, False)]
     )
 
-    def code(p: int) -> Column:
-        return F.when(F.col(f"_has{p}"), "1").when(F.col(f"_known{p}"), "0").otherwise(".")
-
+    sides = ["_has1", "_known1", "_has2", "_known2"]
+    by_mutation = found.groupBy(*REGION, "mutation").agg(F.collect_list(F.struct("sample_id", *sides)).alias("_found"))
+    none = F.array().cast(by_mutation.schema["_found"].dataType)
+    unseen = F.transform(
+        F.array_except("_all", "_found.sample_id"),
+        lambda name: F.struct(name.alias("sample_id"), *[F.lit(None).cast("boolean").alias(c) for c in sides]),
+    )
     ps_value = F.col("start").cast("string") if ps == "start" else F.concat_ws("-", F.col("start").cast("string"), F.col("end").cast("string"))
-    one, two = F.coalesce("_has1", F.lit(False)), F.coalesce("_has2", F.lit(False))
+
+    def shown(c: Column) -> Column:
+        sure = [F.when(c[f"_has{p}"], "1").when(c[f"_known{p}"], "0").otherwise(".") for p in (1, 2)]
+        one, two = F.coalesce(c["_has1"], F.lit(False)), F.coalesce(c["_has2"], F.lit(False))
+        return F.struct(c["sample_id"].alias("sample_id"), F.concat_ws("|", *sure).alias("gt"), F.when(one != two, ps_value).otherwise(".").alias("ps"))
+
+    # the samples' names, as a VCF's header line has them
+    cohort = F.broadcast(calls.agg(F.collect_set("sample_id").alias("_all")))
     return (
-        # the table to be made: every mutation with every sample, as a VCF has it
-        mutations.crossJoin(samples).join(found, [*REGION, "mutation", "sample_id"], "left")
-        .select(
-            *REGION, "mutation", "width_orig", "sample_id", F.concat_ws("|", code(1), code(2)).alias("gt"),
-            F.when(one != two, ps_value).otherwise(".").alias("ps"),
-        )
+        # every mutation with every sample, made where the mutation is
+        mutations.join(by_mutation, [*REGION, "mutation"], "left").withColumn("_found", F.coalesce("_found", none)).crossJoin(cohort)
+        .select(*REGION, "mutation", "width_orig", F.transform(F.concat("_found", unseen), shown).alias("calls"))
     )
 
 
+def genotypes(calls: DataFrame, ps: str = "start") -> DataFrame:
+    """``called`` as one row per region, mutation and sample."""
+    return called(calls, ps).select(*REGION, "mutation", "width_orig", F.inline("calls"))
+
+
 def vcf_fixed(table: DataFrame, id_prefix: str = "SV") -> DataFrame:
     """The nine fixed VCF columns of each (region, mutation)."""
     place = F.concat_ws("-", "seqname", F.col("start").cast("string"), F.col("end").cast("string"))
@@ -88,3 +100,10 @@ def vcf_records(genotype_rows: DataFrame, id_prefix: str = "SV") -> DataFrame:
     call = F.struct(F.col("sample_id").alias("sample"), F.concat_ws(":", "gt", "ps").alias("call"))
     rows = genotype_rows.groupBy(*REGION, "mutation", "width_orig").agg(F.sort_array(F.collect_list(call)).alias("calls"))
     return vcf_fixed(rows, id_prefix)
+
+
+def called_records(calls: DataFrame, id_prefix: str = "SV", ps: str = "start") -> DataFrame:
+    """What ``vcf_records`` makes of the genotype rows of haplotype calls, without rows for single samples."""
+    records = called(calls, ps)
+    text = F.transform("calls", lambda c: F.struct(c["sample_id"].alias("sample"), F.concat_ws(":", c["gt"], c["ps"]).alias("call")))
+    return vcf_fixed(records.withColumn("calls", F.sort_array(text)), id_prefix)

@@ -233,3 +233,16 @@ def test_steps_stream_through_the_fold(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == [(k * 1000, k * 1000 + 1000, "+".join(["inv"] * 100)) for k in range(5)]
+
+
+def test_samples_of_a_mutation_are_not_shuffled(spark):
+    """Forty samples of each of fifty mutations are made where the mutation is: the wide table is not shuffled."""
+    rows = [("chr1", 10 * (i % 50), 10 * (i % 50) + 5, f"x_S{i % 40}_hap{1 + i % 2}", 99.0, "1_2_del", 5) for i in range(400)]
+    df = spark.createDataFrame(rows, "seqname string, start long, end long, sample string, res_max double, mut_max string, width_orig long")
+    calls = gt.haplotype_calls(df)
+    records = gt.called_records(calls)
+    assert {len(r.calls) for r in records.collect()} == {40} and records.count() == 50
+    assert sorted(map(str, records.collect())) == sorted(map(str, gt.vcf_records(gt.genotypes(calls)).collect()))
+    for made, wide in ((records, "transform("), (gt.genotypes(calls), "inline(")):
+        plan = made._jdf.queryExecution().executedPlan().toString()  # from the result down
+        assert "Exchange" not in plan[: plan.index(wide)]
