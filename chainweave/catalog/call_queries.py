@@ -74,7 +74,7 @@ def source_winner(spark, sf_dir):
   where w.chr = s.chr and w.src_start = s.src_start and w.src_end = s.src_end and s."start" >= w."start" and s."end" <= w."end")""")
 def dominant_steps(spark, sf_dir):
     rows = results(spark, sf_dir)
-    steps = materialise(ca.call_steps(rows))
+    steps = materialise(ca.with_islands(materialise(ca.call_steps(rows))))
     winners = materialise(ca.winning_sources(ca.competing_sources(steps, ca.reference_regions(rows))))
     return ca.dominant_steps(steps, winners)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainweave.functions.scalars import simple_mutation
-from chainweave.operators.intervals import union_spans
+from chainweave.operators.intervals import cluster
 from chainweave.operators.rangejoin import overlap_join
 from chainweave.session import materialise
 
@@ -48,17 +48,22 @@ def call_steps(results: DataFrame, threshold: float = 98.0) -> DataFrame:
     )
 
 
+def with_islands(steps: DataFrame) -> DataFrame:
+    """Add ``island``, the start of the merged interval that a step is a member of."""
+    return cluster(steps).withColumnRenamed("cluster", "island")
+
+
 def competing_sources(steps: DataFrame, references: DataFrame) -> DataFrame:
     """Merged step intervals with every source that claims them: ``(chr, start, end, src_start, src_end, ref)``.
 
     Own sources are those of the member steps; a reference region joins in if it overlaps the merged interval and
     lies inside one of its own sources. Long form: one row per source, never a collected list.
     """
-    # an overlap join reads its inputs twice, so whatever is not a plain scan is cut off first
-    merged = materialise(union_spans(steps.select("chr", "start", "end")))
-    spans = steps.select("chr", F.col("start").alias("_s"), F.col("end").alias("_e"), *SOURCE).distinct()
-    own = overlap_join(merged, spans, ["chr"], ("start", "end"), ("_s", "_e")).select("chr", "start", "end", *SOURCE).distinct()
-    own = materialise(own)
+    members = (steps if "island" in steps.columns else with_islands(steps)).select("chr", "island", "end", *SOURCE)
+    merged = members.groupBy("chr", "island").agg(F.max("end").alias("end"))
+    sources = members.select("chr", "island", *SOURCE).distinct()
+    own = sources.join(merged, ["chr", "island"]).select("chr", F.col("island").alias("start"), "end", *SOURCE)
+    own = materialise(own)  # an overlap join reads its inputs twice
     refs = references.select("chr", F.col("src_start").alias("_rs"), F.col("src_end").alias("_re")).distinct()
     inside = (F.col("_rs") >= F.col("src_start")) & (F.col("_re") <= F.col("src_end"))
     joining = overlap_join(own, refs, ["chr"], ("start", "end"), ("_rs", "_re"), inside).select(
@@ -78,14 +83,10 @@ def winning_sources(competing: DataFrame) -> DataFrame:
 
 def dominant_steps(steps: DataFrame, winners: DataFrame) -> DataFrame:
     """Steps of the winning source that lie inside the merged interval it won."""
-    won = winners.withColumnsRenamed({"start": "_ms", "end": "_me"})
-    # merged intervals are disjoint, so a step lies in at most one of them
-    hit = overlap_join(
-        steps.withColumnsRenamed({c: f"_{c}" for c in SOURCE}), won, ["chr"], ("start", "end"), ("_ms", "_me"),
-        (F.col("_src_start") == F.col("src_start")) & (F.col("_src_end") == F.col("src_end"))
-        & (F.col("start") >= F.col("_ms")) & (F.col("end") <= F.col("_me")),
-    )
-    return hit.select("chr", "start", "end", "step", "name", *SOURCE)
+    won = winners.select("chr", F.col("start").alias("island"), *SOURCE)
+    # a step is a member of one merged interval, and lies inside it
+    members = steps if "island" in steps.columns else with_islands(steps)
+    return members.join(won, ["chr", "island", *SOURCE]).select("chr", "start", "end", "step", "name", *SOURCE)
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +134,7 @@ def fold_steps(dominant: DataFrame) -> DataFrame:
 
 def regional_dominance(results: DataFrame, threshold: float = 98.0) -> DataFrame:
     """Result rows to final calls: steps, competing sources, winners, folded records."""
-    steps = materialise(call_steps(results, threshold))
+    steps = materialise(with_islands(materialise(call_steps(results, threshold))))  # both are read twice
     winners = materialise(winning_sources(competing_sources(steps, reference_regions(results, threshold))))
     return fold_steps(dominant_steps(steps, winners))
 
