@@ -114,7 +114,7 @@ def write(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", te
             encoder = encoder or tokens.worker_encoder(tokenizer, end_id)
             out = out or system.open_output_stream(own)
             rows = []
-            for some in slices(batch, 1):
+            for some in slices(batch, 1, tokens.CHARS_AT_ONCE):
                 offsets, ids = encoder.encode(some.column(1))
                 for doc_id, a, b in zip(some.column(0).to_pylist(), offsets, offsets[1:]):
                     out.write(data := frame(payload(doc_id, ids[a:b])))

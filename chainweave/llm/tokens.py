@@ -1,7 +1,7 @@
 """Token ids of whole Arrow string columns by the ``tokenizers`` library, each distinct piece encoded once.
 
 A byte-level pre-tokenizer always starts a new piece at a blank that a non-blank follows, so a text is cut there by
-Arrow, the cuts are dictionary-encoded, and only pieces not met before go to the library's model. Texts with
+Arrow, the cuts are dictionary-encoded, and only pieces not met before go to the library's model; a stretch of letters alone is one piece. Texts with
 characters about which regular-expression engines might disagree, or with the name of an added token, are given to the
 library whole.
 """
@@ -28,7 +28,7 @@ LOOSE = r" [ \t\n]|[\t\n ] | $|^ "
 MEMORY = 600_000
 MEMORY_BYTES = 80_000_000
 #: Bytes of text that are cut up at once.
-CHARS_AT_ONCE = 1_000_000
+CHARS_AT_ONCE = 4_000_000
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
@@ -134,10 +134,12 @@ class Encoder:
             new = list(set(found))
         # at most an id of four bytes for each letter, and what the entry itself takes
         self.piece_bytes += sum(5 * len(x) + 160 for x in new)
-        bpe, letters = self.tokenizer.model.tokenize, self.letters
-        for x in new:
-            shown = (x if x.isascii() else x.encode().decode("latin-1")).translate(letters)
-            self.pieces[x] = array("I", [t.id for t in bpe(shown)]).tobytes()
+        self.pieces.update(zip(new, map(self._piece, new)))
+
+    def _piece(self, x: str) -> bytes:
+        """The ids of one piece by the model. Only the blank has another letter among printable ASCII."""
+        shown = x.replace(" ", "\u0120") if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
 
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lists = pc.split_pattern(texts, " ")
@@ -158,10 +160,15 @@ class Encoder:
         self.chunk_bytes += sum(5 * len(wanted[i]) + 160 for i in missing)
         for at in range(0, len(missing), 100_000):
             some = missing[at : at + 100_000]
+            if len(self.chunks) + len(some) > MEMORY:
+                self.chunks, self.chunk_bytes = {}, 0
+            # letters alone (after the blank) are one piece, remembered here only
+            words_at = [i for i in some if wanted[i].removeprefix(" ").isalpha()]
+            for i in words_at:
+                known[i] = self.chunks[wanted[i]] = self._piece(wanted[i])
+            some = [i for i in some if known[i] is None]
             cut = [self.find(wanted[i]) for i in some]
             self._learn(list(itertools.chain.from_iterable(cut)))
-            if len(self.chunks) + len(some) > MEMORY // 2:
-                self.chunks = {}
             for i, x in zip(some, cut):
                 known[i] = self.chunks[wanted[i]] = b"".join(map(self.pieces.__getitem__, x))
         tail = np.array(self.end, np.uint32).tobytes()

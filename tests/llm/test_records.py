@@ -62,3 +62,12 @@ def test_damage_is_noticed():
 def test_empty(spark, tmp_path):
     folder, index = records.write(frame(spark, []), str(tmp_path))
     assert index.count() == 0 and records.read(spark, folder).count() == 0
+
+
+def test_letters_between_blanks_are_one_piece():
+    """They go to the model without being cut up, and are remembered once."""
+    text = "Ein Wort, zwei W\u00f6rter it's \u00aa\u00ba \u00b5m 4th e\u20ac a-b ~ x"
+    encoder = tokens.Encoder()
+    _, ids = encoder.encode(pa.array([text]))
+    assert ids.tolist() == [*tokens.load().encode(text, add_special_tokens=False).ids, 0]
+    assert " zwei" in encoder.chunks and not {" zwei", " W\u00f6rter", "Ein"} & set(encoder.pieces)
