@@ -101,19 +101,24 @@ def _key(norm: Column) -> list[Column]:
     return [F.xxhash64(norm).alias("k1"), F.xxhash64(norm, F.lit(1)).alias("k2")]
 
 
-def keyed(prints: DataFrame, blocks: int, choose: int) -> DataFrame:
-    """A row for each of the keys of ``id, fp``: ``combo`` (which ``choose`` of the ``blocks``), ``key`` (their bits)."""
+def _masks(blocks: int, choose: int) -> list[int]:
+    """The bits of each choice of ``choose`` of the ``blocks``, as signed longs."""
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
     masks = [sum(((1 << edges[i + 1]) - (1 << edges[i])) for i in some) for some in combinations(range(blocks), choose)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    each = F.array(*(F.struct(F.lit(i).alias("combo"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)))
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def keyed(prints: DataFrame, blocks: int, choose: int) -> DataFrame:
+    """A row for each of the keys of ``id, fp``: ``combo`` (which ``choose`` of the ``blocks``), ``key`` (their bits)."""
+    each = F.array(*(F.struct(F.lit(i).alias("combo"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(_masks(blocks, choose))))
     return prints.select("id", "fp", F.explode(each).alias("e")).select("id", "fp", "e.*")
 
 
 def close_pairs(prints: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """``a, b`` of all ``id, fp`` whose fingerprints differ in at most ``DISTANCE`` bits, but for those that meet only in ``combo, key, id, fp, n``.
 
-    The members of crowded buckets are keyed again by more bits. What is crowded even by the most is the second table.
+    A pair is made in the first bucket that its members share, and only there. If that one is crowded, both are keyed again by more
+    bits. What is crowded even by the most is the second table.
     """
     found = None
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= DISTANCE
@@ -125,7 +130,9 @@ def close_pairs(prints: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
         met = materialise(rows.join(sizes, ["combo", "key"]))
         light = met.where(F.col("n") <= BUCKET).select("combo", "key", "id", "fp")
         other = light.select("combo", "key", F.col("id").alias("id_b"), F.col("fp").alias("fp_b"))
-        pairs = light.join(other, ["combo", "key"]).where((F.col("id") < F.col("id_b")) & near).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
+        unlike = F.col("fp").bitwiseXOR(F.col("fp_b"))
+        first = reduce(lambda x, y: x & y, ((F.col("combo") <= i) | (unlike.bitwiseAND(F.lit(m)) != 0) for i, m in enumerate(_masks(blocks, choose))))
+        pairs = light.join(other, ["combo", "key"]).where((F.col("id") < F.col("id_b")) & near & first).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
         found = pairs if found is None else found.union(pairs)
         left = met.where(F.col("n") > BUCKET)
         prints = materialise(left.select("id", "fp").distinct())

@@ -148,3 +148,15 @@ def test_exchanged_words_are_a_bound(spark):
     got = {x.a for x in line_dedup.edit_similar(spark.createDataFrame(rows, "a long, b long, norm_a string, norm_b string")).collect()}
 
     assert got == {a for a, _, x, y in rows if distance(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9)}
+
+
+def test_a_pair_is_made_in_one_bucket_only(spark, monkeypatch):
+    """Copies with one fingerprint share all four buckets, those one bit apart three of them."""
+    from chainweave.llm import line_dedup as ld
+
+    base = 0x0123_4567_89AB_CDEF
+    prints = spark.createDataFrame([(i, base ^ (0 if i < 10 else 1 << (3 * i))) for i in range(20)], "id long, fp long")
+    want = sorted((a, b) for a in range(20) for b in range(a + 1, 20))
+    monkeypatch.setattr(type(prints), "distinct", lambda df: df)
+    found, left = ld.close_pairs(prints, 20)
+    assert sorted(map(tuple, found.collect())) == want and left.isEmpty()
