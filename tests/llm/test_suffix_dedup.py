@@ -68,3 +68,10 @@ def test_empty(spark):
     assert s.remove_repeats(frame(spark, [])).collect() == []
     short = s.remove_repeats(frame(spark, [(1, "x" * 99, "en", "s", 1), (2, "x" * 99, "en", "s", 1), (3, None, None, None, None)])).collect()
     assert all(r.n_removed == 0 for r in short)
+
+
+def test_windows_side_by_side_are_one_span(spark):
+    passage = prose(55, 60)[:180].encode()
+    rows = [(7, i, 0, 10 * i, passage + bytes([65 + i])) for i in range(3)]
+    reps = spark.createDataFrame(rows, "h long, id long, tie long, lo long, owned binary")
+    assert sorted(map(tuple, s._contested_spans(reps).collect())) == [(1, 0, 10, 190), (2, 0, 20, 200)]
