@@ -4,8 +4,8 @@ Lines are normalised (lower case; each run of anything but letters and digits is
 line of which the first occurrence counts, by document and then by place. The distinct lines get a SimHash of 64 bits over
 their distinct words. Fingerprints that differ in at most three bits agree in a whole block if the bits are cut into more
 blocks than three, and in two or three whole blocks at once if into five or six; joining on those finds every such pair.
-Pairs are verified by edit similarity, their connected groups are found, and each group keeps its first occurrence. In
-crowded buckets stars are verified first, then all pairs that these have not joined.
+Pairs are verified by edit similarity, their connected groups are found, and each group keeps its first occurrence. Of each
+line its pair with the least other is verified first (in crowded buckets stars are), then all pairs that these have not joined.
 
 What has no letter or digit is no line to compare and stays. Documents stay too, if need be with an empty text.
 """
@@ -32,6 +32,8 @@ SIMILARITY = 0.8
 PIGEONHOLES = ((1 << 22, 4, 1), (1 << 30, 5, 2), (1 << 62, 6, 3))
 #: Fingerprints in a bucket up to which its pairs are compared one by one; a fuller one is keyed by more bits.
 BUCKET = 256
+#: Characters of a line from which on its words, which may then be as many, are counted with wider counters.
+LONG_LINE = 1 << 15
 #: Distinct involved lines up to which their 16-byte keys are broadcast; beyond it they are joined by a shuffle.
 FEW_LINES = 500_000
 
@@ -91,9 +93,31 @@ def with_fingerprint(df: DataFrame) -> DataFrame:
     return counted.select(*df.columns, bits.alias("fp"))
 
 
-def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, tie, line_no, line`` of every line; ``tie`` tells documents with the same id apart."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
+def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``place, k1, k2, fp`` of every line with something to compare.
+
+    Words are rows, counted by sums over four counters of 16 bits side by side; lines long enough to overflow them go by ``with_fingerprint``.
+    """
+    row, place = fresh(docs, "row"), F.struct("doc_id", "tie", "line_no").alias("place")
+    norm = normalised(F.col("line")).alias("norm")
+    counted = (  # rows with the same id and text are told apart, else their words would add up
+        lines(docs.withColumn(row, F.monotonically_increasing_id()), id_col, text_col, row)
+        .where((F.length("line") < LONG_LINE) & F.col("line").rlike(SPOKEN)).select(row, "doc_id", "tie", "line_no", norm)
+        .select(row, "doc_id", "tie", "line_no", *_key(F.col("norm")), F.array_distinct(F.split("norm", " ")).alias("words"))
+        .select(row, "doc_id", "tie", "line_no", "k1", "k2", F.explode("words").alias("word"))
+        .select(row, "doc_id", "tie", "line_no", "k1", "k2", F.xxhash64("word").alias("h"))
+        .groupBy(row, "doc_id", "tie", "line_no", "k1", "k2")
+        .agg(F.count("*").alias("n"), *(F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(_ones(16, 4)))).alias(f"c{i}") for i in range(16)))
+        .select("doc_id", "tie", "line_no", "k1", "k2", "n", F.struct(*(f"c{i}" for i in range(16))).alias("c"))
+    )
+    wide = lines(docs.where(F.length(text_col) >= LONG_LINE), id_col, text_col).where((F.length("line") >= LONG_LINE) & F.col("line").rlike(SPOKEN))
+    hashed = with_fingerprint(wide.select(place, norm))
+    return counted.select(place, "k1", "k2", _majority("c", "n", 16).alias("fp")).union(hashed.select("place", *_key(F.col("norm")), "fp"))
+
+
+def lines(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """``doc_id, tie, line_no, line`` of every line, after columns of its document; ``tie`` tells documents with the same id apart."""
+    return docs.select(*more, F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
 
 
 def _key(norm: Column) -> list[Column]:
@@ -166,6 +190,14 @@ def rest_pairs(left: DataFrame, groups: DataFrame) -> DataFrame:
     return met.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
 
 
+def unjoined(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``a, b`` whose ends are not in one group of ``node, root``; a node that is in none is its own."""
+    for end in ("a", "b"):
+        root = groups.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        pairs = pairs.join(root, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    return pairs.where("root_a <> root_b").select("a", "b")
+
+
 def _stars(prints: DataFrame) -> DataFrame:
     """Whoever is within two bits of a value to which others are within one bit is linked to the least of those.
 
@@ -182,34 +214,34 @@ def _stars(prints: DataFrame) -> DataFrame:
 def edit_similar(pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The rows of ``a, b, norm_a, norm_b`` where 1 - edit distance / longer length is at least ``least``.
 
-    Equal words at both ends (each with its blank) do not count for the distance and are taken off first. What is left is
-    near enough if the longer rest is no longer than the distance allowed, or if as many words are left on both sides and exchanging
-    those that differ costs no more than that; too far if the lengths differ by more; and else compared within that distance.
+    Equal characters at both ends do not count for the distance and are taken off first. What is left is near enough if the
+    longer rest is no longer than the distance allowed, or if as many words are left on both sides and exchanging those that
+    differ costs no more than that; too far if the lengths differ by more; and else compared within that distance.
     """
     n_a, n_b = F.length("norm_a"), F.length("norm_b")
     allowed = F.floor((1 - least) * F.greatest(n_a, n_b) + 1e-9).cast("int")
-
-    def alike(x: str, y: str) -> Column:
-        """How many words agree from the start on."""
-        unlike = F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), F.lit(False)).cast("int")
-        return F.when(unlike > 0, unlike - 1).otherwise(F.size(x))
-
-    def rest(x: str) -> Column:
-        return F.array_join(F.transform(F.slice(x, F.lit(1), F.size(x) - F.col("ends")), lambda w: F.concat(w, F.lit(" "))), "")
+    steps = F.array(*(F.lit(1 << k) for k in range(14, -1, -1)))
+
+    def cut(x: Column, y: Column) -> Column:
+        """Both without what they start with alike; of very much that is equal some may stay, which costs time only."""
+        return F.aggregate(
+            steps, F.struct(x.alias("x"), y.alias("y")),
+            lambda s, n: F.when(
+                s["x"].substr(F.lit(1), n) == s["y"].substr(F.lit(1), n),
+                F.struct(s["x"].substr(n + 1, F.length(s["x"])).alias("x"), s["y"].substr(n + 1, F.length(s["y"])).alias("y")),
+            ).otherwise(s),
+        )
 
     near = pairs.withColumn("allowed", allowed).where(F.abs(n_a - n_b) <= F.col("allowed"))
-    words = near.select("a", "b", "allowed", F.split("norm_a", " ").alias("x"), F.split("norm_b", " ").alias("y"))
-    begun = words.withColumn("starts", alike("x", "y"))
-    cut = begun.select("a", "b", "allowed", *(F.slice(c, F.col("starts") + 1, F.size(c)).alias(c) for c in ("x", "y")))
-    turned = cut.select("a", "b", "allowed", "x", "y", F.reverse("x").alias("rx"), F.reverse("y").alias("ry")).withColumn("ends", alike("rx", "ry"))
+    # as a generated row it is made once; a filter would compute a plain column anew wherever it names it
+    both = F.transform(F.array(cut(F.col("norm_a"), F.col("norm_b"))), lambda s: cut(F.reverse(s["x"]), F.reverse(s["y"])))
+    left = near.select("a", "b", "allowed", F.explode(both).alias("s")).select("a", "b", "allowed", "s.x", "s.y")
+    u, v = F.split("x", " "), F.split("y", " ")
     # a word becomes another by at most as many edits as the longer has letters
-    price = F.aggregate(
-        F.zip_with("x", "y", lambda p, q: F.when(p == q, 0).otherwise(F.greatest(F.length(p), F.length(q)))), F.lit(0), lambda n, k: n + k
-    )
-    price = F.when(F.size("x") == F.size("y"), price)
-    left = turned.select("a", "b", "allowed", rest("x").alias("x"), rest("y").alias("y"), price.alias("price"))
-    short = (F.greatest(F.length("x"), F.length("y")) <= F.col("allowed")) | F.coalesce(F.col("price") <= F.col("allowed"), F.lit(False))
-    return left.where(F.when(short, True).otherwise(F.expr("levenshtein(x, y, allowed) >= 0"))).select("a", "b")
+    price = F.aggregate(F.zip_with(u, v, lambda p, q: F.when(p == q, 0).otherwise(F.greatest(F.length(p), F.length(q)))), F.lit(0), lambda n, k: n + k)
+    short = F.greatest(F.length("x"), F.length("y")) <= F.col("allowed")
+    exchanged = F.when(F.size(u) == F.size(v), price <= F.col("allowed")).otherwise(False)
+    return left.where(F.when(short, True).when(exchanged, True).otherwise(F.expr("levenshtein(x, y, allowed) >= 0"))).select("a", "b")
 
 
 def first_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -217,10 +249,8 @@ def first_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     every = lines(docs, id_col, text_col)
     spoken = F.col("line").rlike(SPOKEN)
     norm = normalised(F.col("line")).alias("norm")
-    place = F.struct("doc_id", "tie", "line_no")
     distinct = materialise(
-        with_fingerprint(every.where(spoken).select(place.alias("place"), norm)).select("place", *_key(F.col("norm")), "fp")
-        .groupBy("k1", "k2").agg(F.min("place").alias("place"), F.first("fp").alias("fp"))
+        fingerprints(docs, id_col, text_col).groupBy("k1", "k2").agg(F.min("place").alias("place"), F.first("fp").alias("fp"))
         .withColumn("id", F.xxhash64("k1", "k2"))
     )
 
@@ -239,12 +269,15 @@ def first_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return materialise(edit_similar(spread, similarity))
 
     found, left = close_pairs(distinct.select("id", "fp"), distinct.count())
-    crowded = not left.isEmpty()
-    stars = _stars(left.select("id", "fp").distinct()) if crowded else None
-    edges = similar(materialise(found.union(stars).distinct() if crowded else found))
+    found, crowded = materialise(found), not left.isEmpty()
+    begun = found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    edges = similar(materialise(begun.union(_stars(left.select("id", "fp").distinct())).distinct() if crowded else begun))
     groups = components(edges)
-    if crowded:  # stars save work where they hold; where they do not, all pairs that are not joined are compared
-        groups = components(edges.union(similar(materialise(rest_pairs(left, groups)))))
+    # what these have joined needs no more pairs; of the rest all pairs are compared
+    rest = unjoined(found, groups)
+    rest = materialise(rest.union(rest_pairs(left, groups)).distinct() if crowded else rest)
+    if not rest.isEmpty():
+        groups = components(edges.union(similar(rest)))
     later = (
         groups.join(distinct.select(F.col("id").alias("node"), "place"), "node")
         .groupBy("root").agg(F.min("place").alias("first")).select(F.col("first").alias("place"))
@@ -268,10 +301,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .toDF(own_id, own_tie, stays)
     )
     out = docs.withColumn(tie, F.xxhash64(text_col)).join(kept, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(tie) == F.col(own_tie)), "left")
-    split = F.split(text_col, "\n")
+    # the split lines are a column of their own, else the text would be split anew for every line
+    parts = fresh(out, "parts")
+    out = out.withColumn(parts, F.split(text_col, "\n"))
     stay = F.coalesce(stays, F.array().cast("array<int>"))
-    text = F.when(F.col(text_col).isNotNull(), F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n"))
-    count = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split))
+    text = F.when(F.col(text_col).isNotNull(), F.array_join(F.transform(stay, lambda i: F.get(F.col(parts), i)), "\n"))
+    count = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts))
     return out.select(
         *(F.col(c) if c != text_col else text.alias(c) for c in docs.columns),
         count.cast("long").alias(n_lines), (count - F.size(stay)).cast("long").alias(n_removed),

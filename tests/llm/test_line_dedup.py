@@ -160,3 +160,27 @@ def test_a_pair_is_made_in_one_bucket_only(spark, monkeypatch):
     monkeypatch.setattr(type(prints), "distinct", lambda df: df)
     found, left = ld.close_pairs(prints, 20)
     assert sorted(map(tuple, found.collect())) == want and left.isEmpty()
+
+
+def test_a_group_is_not_verified_pair_by_pair(spark, monkeypatch):
+    """Of 20 lines alike, each is compared with one other; what these have joined is not compared again."""
+    from chainweave.llm import line_dedup as ld
+
+    verify, seen = ld.edit_similar, []
+    monkeypatch.setattr(ld, "edit_similar", lambda pairs, least: seen.append(pairs.count()) or verify(pairs, least))
+    base = " ".join(f"w{k}" for k in range(200))
+    rows = [(i, base.replace("w60 ", f"w60{'x' * i} "), "en", "s", 1) for i in range(20)]
+    got = {x.doc_id: x.n_removed for x in ld.dedup_lines(frame(spark, rows)).collect()}
+    assert sum(seen) < 60 and got[0] == 0 and sum(got.values()) >= 15
+
+
+def test_long_lines_and_equal_rows_have_the_same_fingerprints(spark, monkeypatch):
+    from chainweave.llm import line_dedup as ld
+
+    rows = [(1, prose(1, 30) + "\n" + prose(2, 300), "en", "s", 1)] * 3 + [(2, prose(3, 8) + "\n\n" + prose(4, 90), "en", "s", 1)]
+    want = {norm(x): fingerprint(norm(x)) for r in rows for x in r[1].split("\n") if norm(x)}
+    n = sum(1 for r in rows for x in r[1].split("\n") if norm(x))
+    for long in (1 << 15, 40):
+        monkeypatch.setattr(ld, "LONG_LINE", long)
+        got = ld.fingerprints(frame(spark, rows), "doc_id", "text").collect()
+        assert len(got) == n and {r.fp % (1 << 64) for r in got} == set(want.values())
